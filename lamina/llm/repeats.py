@@ -1,15 +1,18 @@
 """Repeated windows across documents: what the two substring operators share.
 
 Every window of ``window`` symbols (bytes or words) is assigned to its anchor, the smallest k-gram
-in it. Windows that are equal have equal anchors, so documents need to meet only by anchor: a map
-task cuts its documents into runs of windows with one anchor, each run with the symbols around it,
-and sends packed runs to the shard of their anchor. A shard drops anchors seen in one document,
-builds its index over the rest and answers, for each window, which is the smallest document that
-has it. A symbol is removed if a window over it also starts in a document with a smaller id.
-
-Runs with the same symbols in one map task travel once, with the smallest document; the others are
-repeats for certain and are answered where they are. So a passage in a third of all rows costs a
-shard one run per map task. Shards are in proportion to the input.
+in it. Windows that are equal have equal anchors, so documents need to meet only by anchor.
+
+First only short prints of anchors travel, to find the anchors of more than one document; a print
+that stands for two anchors just keeps more. Then the documents that have such anchors are cut
+into runs of windows with one anchor, and each run goes, with the symbols around it, to the shard
+of its anchor. The shard builds its index and answers, for each window, which is the smallest
+document that has it. A symbol is removed if a window over it also starts in a document with a
+smaller id.
+
+Prints that one map task has for several documents are answered there, and it sends one of them;
+so are runs with the same symbols, of which it sends the smallest document's. So a passage in a
+third of all rows costs a shard one row per map task. Shards are in proportion to the input.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 from lamina.llm import seqs
 from lamina.llm.common import keyed, shard_count
 
-#: Bytes of text handled at once, and gathered before runs are sent.
-PIECE, FLUSH = 1 << 20, 6 << 20
+#: Bytes of text handled at once, and gathered before prints or runs are sent.
+PIECE, FLUSH_PRINTS, FLUSH = 1 << 20, 24 << 20, 6 << 20
 FIELDS = (("anchor", np.uint64), ("key", np.int64), ("late", np.int64), ("start", np.int64), ("size", np.uint32), ("lead", np.uint8), ("windows", np.uint8))
 
 
@@ -94,12 +97,127 @@ def word_pieces(window: int) -> Callable[[bytes], list[tuple[int, bytes]]]:
     return cut
 
 
+PRINTS = "shard int, settled boolean, body binary"
+SEEN = "row_key long, place int"
+
+
+def bounds(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the length."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True])))
+
+
+def to_rows(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
+    shard, settled, body = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(settled, pa.bool_()), pa.array(body, pa.binary())], ["shard", "settled", "body"])
+
+
+def several(group: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each run of equal values of group, whether it has more than one order."""
+    at = bounds(group)[:-1]
+    return np.minimum.reduceat(order, at) < np.maximum.reduceat(order, at)
+
+
+def print_sender(shards: int, window: int, unit: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The map side of the first step: (row_key, row_order, text) to packed prints of anchors by shard."""
+    find, cut = (byte_runs, byte_pieces(window)) if unit == "byte" else (word_runs, word_pieces(window))
+
+    def flush(lots: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        anchor, key, order, place = (np.concatenate(x) for x in zip(*lots, strict=True))
+        by = np.argsort(anchor, kind="stable")
+        anchor, key, order, place = anchor[by], key[by], order[by], place[by]
+        at = bounds(anchor)
+        known = several(anchor, order)
+        repeated = np.repeat(known, np.diff(at))
+        rows: list[tuple[int, bool, bytes]] = []
+        if known.any():
+            home = (seqs.mix(key[repeated].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            sort = np.argsort(home, kind="stable")
+            home, k, p = home[sort], key[repeated][sort], place[repeated][sort]
+            for a, b in zip(bounds(home)[:-1], bounds(home)[1:], strict=True):
+                rows.append((int(home[a]), True, zstandard.compress(np.stack([k[a:b], p[a:b]]).tobytes(), 1)))
+        # one row for each anchor of several documents, and all rows of the others
+        keep = ~repeated
+        keep[at[:-1]] = True
+        anchor, key, order, place, flag = anchor[keep], key[keep], order[keep], place[keep], repeated[keep]
+        shard, rest = (anchor % np.uint64(shards)).astype(np.int64), (anchor // np.uint64(shards) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        sort = np.lexsort((rest, shard))
+        shard = shard[sort]
+        for a, b in zip(bounds(shard)[:-1], bounds(shard)[1:], strict=True):
+            part = sort[a:b]
+            keys, local = np.unique(key[part], return_inverse=True)
+            late = np.zeros(len(keys), np.int64)
+            late[local] = order[part] - key[part]
+            body = struct.pack("<qq", len(part), len(keys)) + np.diff(keys, prepend=0).tobytes() + late.tobytes() + np.diff(rest[part], prepend=np.uint32(0)).tobytes() + local.astype(np.uint32).tobytes() + place[part].astype(np.uint32).tobytes() + np.packbits(flag[part]).tobytes()
+            rows.append((int(shard[a]), False, zstandard.compress(planes(body), 1)))
+        yield to_rows(rows)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lots: list[list[np.ndarray]] = []
+        held = 0
+        for batch in batches:
+            keys, orders = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            data, offsets = seqs.utf8_column(batch.column(2))
+            for lot in pieces(data, offsets, cut):
+                runs, _, _ = find([x[2] for x in lot], window)
+                held += sum(len(x[2]) for x in lot)
+                if len(runs["text"]):
+                    row = np.array([x[0] for x in lot], np.int64)[runs["text"]]
+                    place = runs["start"] + runs["lead"] + np.array([x[1] for x in lot], np.int64)[runs["text"]]
+                    lots.append([runs["anchor"], keys[row], orders[row], place])
+                if held >= FLUSH_PRINTS and lots:
+                    yield from flush(lots)
+                    lots, held = [], 0
+        if lots:
+            yield from flush(lots)
+
+    return send
+
+
+def planes(body: bytes) -> bytes:
+    """Bytes of 4-byte values by significance, which compress better; turned back by unplanes."""
+    body += bytes(-len(body) % 4)
+    return np.frombuffer(body, np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplanes(body: bytes) -> bytes:
+    return np.frombuffer(body, np.uint8).reshape(4, -1).T.tobytes()
+
+
+def print_answer(table: pa.Table) -> pa.Table:
+    """The reduce side of the first step: the places whose anchor more than one document has."""
+    keys, places, lots = [], [], []
+    for settled, body in zip(table.column("settled").to_pylist(), table.column("body"), strict=True):
+        body = zstandard.decompress(body.as_py())
+        if settled:
+            k, p = np.frombuffer(body, np.int64).reshape(2, -1)
+            keys.append(k)
+            places.append(p)
+            continue
+        body = unplanes(body)
+        n, m = struct.unpack_from("<qq", body)
+        row_keys = np.cumsum(np.frombuffer(body, np.int64, m, 16))
+        late = np.frombuffer(body, np.int64, m, 16 + 8 * m)
+        rest, local, place = np.frombuffer(body, np.uint32, 3 * n, 16 + 16 * m).reshape(3, n)
+        flag = np.unpackbits(np.frombuffer(body, np.uint8, offset=16 + 16 * m + 12 * n))[:n].astype(bool)
+        lots.append((np.cumsum(rest, dtype=np.uint32), row_keys[local], (row_keys + late)[local], place.astype(np.int64), flag))
+    if lots:
+        rest, key, order, place, flag = (np.concatenate(x) for x in zip(*lots, strict=True))
+        by = np.argsort(rest, kind="stable")
+        at = bounds(rest[by])
+        hit = several(rest[by], order[by]) | np.logical_or.reduceat(flag[by], at[:-1])
+        chosen = by[np.repeat(hit, np.diff(at)) & ~flag[by]]
+        keys.append(key[chosen])
+        places.append(place[chosen])
+    none = [np.zeros(0, np.int64)]
+    return pa.Table.from_arrays([pa.array(np.concatenate(none + keys)), pa.array(np.concatenate(none + places).astype(np.int32))], ["row_key", "place"])
+
+
 SENT = "shard int, settled boolean, body binary"
 FOUND = "row_key long, first long, last long"
 
 
 def sender(shards: int, window: int, unit: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The map side: documents to packed runs by shard."""
+    """The map side of the second step: (row_key, row_order, doc_id, text, places) to packed runs by shard."""
     find, cut = (byte_runs, byte_pieces(window)) if unit == "byte" else (word_runs, word_pieces(window))
 
     def flush(lots: list[tuple[dict[str, np.ndarray], np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +233,9 @@ def sender(shards: int, window: int, unit: str) -> Callable[[Iterator[pa.RecordB
         keep, gone = order[~done], order[done]
         shard = (runs["anchor"] % np.uint64(shards)).astype(np.int64)
         keep = keep[np.argsort(shard[keep], kind="stable")]
-        bounds = np.flatnonzero(np.concatenate(([True], shard[keep][1:] != shard[keep][:-1], [True])))
+        cuts = bounds(shard[keep])
         rows: list[tuple[int, bool, bytes]] = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             part = keep[a:b]
             body = pack({name: runs[name][part] for name, _ in FIELDS}, seqs.gather(symbols, at[part], runs["size"][part]))
             rows.append((int(shard[part[0]]), False, body))
@@ -127,20 +245,26 @@ def sender(shards: int, window: int, unit: str) -> Callable[[Iterator[pa.RecordB
             home = (seqs.mix(found[0].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
             for s in np.unique(home):
                 rows.append((int(s), True, np.stack([x[home == s] for x in found]).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "settled", "body"])
+        yield to_rows(rows)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lots: list[tuple[dict[str, np.ndarray], np.ndarray]] = []
         held = 0
         for batch in batches:
             keys, orders = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            data, offsets = seqs.utf8_column(batch.column(2))
+            data, offsets = seqs.utf8_column(batch.column(3))
+            places = batch.column(4)
+            row_of = np.repeat(np.arange(len(batch)), np.diff(np.asarray(places.offsets)))
+            wanted = np.sort(row_of << 40 | places.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
             for lot in pieces(data, offsets, cut):
                 runs, buf, spans = find([x[2] for x in lot], window)
                 held += sum(len(x[2]) for x in lot)
-                if len(runs["text"]):
-                    row = np.array([x[0] for x in lot], np.int64)[runs["text"]]
-                    runs["start"] = runs["start"] + np.array([x[1] for x in lot], np.int64)[runs["text"]]
+                row = np.array([x[0] for x in lot], np.int64)[runs["text"]]
+                runs["start"] = runs["start"] + np.array([x[1] for x in lot], np.int64)[runs["text"]]
+                mark = row << 40 | (runs["start"] + runs["lead"])
+                chosen = wanted[np.minimum(np.searchsorted(wanted, mark), len(wanted) - 1)] == mark
+                if chosen.any():
+                    row, runs = row[chosen], {name: x[chosen] for name, x in runs.items()}
                     runs["key"], runs["order"] = keys[row], orders[row]
                     runs["late"] = runs["order"] - runs["key"]
                     runs["print"] = spans.hash(runs["at"], runs["at"] + runs["size"])
@@ -177,29 +301,24 @@ def shard_answer(window: int, least_of: Callable[[dict[str, np.ndarray], list[np
             if settled:
                 found.append(tuple(np.frombuffer(body.as_py(), np.int64).reshape(3, -1)))
             else:
-                lots.append(thin(*unpack(body.as_py())))
+                lots.append(unpack(body.as_py()))
         if lots:
             runs = {name: np.concatenate([x[name] for x, _ in lots]) for name in lots[0][0]}
             symbols = np.concatenate([x for _, x in lots])
             del lots
-            runs, symbols = thin(runs, symbols, alone=True)
+            runs, symbols = shared(runs, symbols)
             if len(runs["key"]):
                 found.append(covered(runs, symbols))
         if not found:
             return pa.Table.from_arrays([pa.array([], pa.int64())] * 3, ["row_key", "first", "last"])
         return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["row_key", "first", "last"])
 
-    def thin(runs: dict[str, np.ndarray], symbols: np.ndarray, alone: bool = False) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """alone: without the anchors that only one document has."""
-        runs = runs | {"at": np.cumsum(runs["size"].astype(np.int64)) - runs["size"]} if "at" not in runs else runs
-        if not alone:
-            return {n: x for n, x in runs.items() if n != "at"}, symbols
+    def shared(runs: dict[str, np.ndarray], symbols: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Without the anchors that only one document has."""
         runs["at"] = np.cumsum(runs["size"].astype(np.int64)) - runs["size"]
         order = np.argsort(runs["anchor"], kind="stable")
         a, doc = runs["anchor"][order], (runs["key"] + runs["late"])[order]
-        cut = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-        several = np.minimum.reduceat(doc, cut) < np.maximum.reduceat(doc, cut)
-        keep = order[np.repeat(several, np.diff(np.concatenate((cut, [len(a)]))))]
+        keep = order[np.repeat(several(a, doc), np.diff(bounds(a)))]
         out = {n: x[keep] for n, x in runs.items()}
         symbols = seqs.gather(symbols, out["at"], out["size"].astype(np.int64))
         out["at"] = np.cumsum(out["size"].astype(np.int64)) - out["size"]
@@ -226,20 +345,21 @@ def shard_answer(window: int, least_of: Callable[[dict[str, np.ndarray], list[np
     return answer
 
 
-def repeated(docs: DataFrame, window: int, unit: str, least_of: Callable, shards: int | None = None) -> DataFrame:
+def repeated(rows: DataFrame, window: int, unit: str, least_of: Callable, shards: int) -> DataFrame:
     """(row_key, first, last): ranges, in bytes or words, to remove from keyed documents; ranges of a row may overlap."""
-    shards = shards or shard_count(docs)
-    sent = docs.select("row_key", "row_order", "text").mapInArrow(sender(shards, window, unit), SENT)
+    prints = rows.select("row_key", "row_order", "text").mapInArrow(print_sender(shards, window, unit), PRINTS)
+    seen = prints.groupBy("shard").applyInArrow(print_answer, SEEN).groupBy("row_key").agg(F.collect_list("place").alias("places"))
+    sent = rows.join(seen, "row_key").select("row_key", "row_order", "doc_id", "text", "places").mapInArrow(sender(shards, window, unit), SENT)
     return sent.groupBy("shard").applyInArrow(shard_answer(window, least_of), FOUND)
 
 
 def remover(unit: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, text, ranges) to counts and the digest of what is kept."""
+    """(row_key, row_order, doc_id, text, ranges) to counts and the digest of what is kept."""
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = seqs.utf8_column(batch.column(1))
-            ranges = batch.column(2)
+            data, offsets = seqs.utf8_column(batch.column(3))
+            ranges = batch.column(4)
             at = np.asarray(ranges.offsets)
             flat = ranges.flatten()  # starts with the first row's own values
             first, last = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -264,20 +384,23 @@ def remover(unit: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 gone.append(removed)
                 spans.append(len(a))
                 digest.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest)], ["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest)], ["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256"])
 
     return remove
 
 
 def removal_ranges(docs: DataFrame, window: int, unit: str, least_of: Callable, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_key, doc_id, text, ranges array<struct<first,last>>): every document with what it loses (null: nothing)."""
+    """(row_key, row_order, doc_id, text, ranges array<struct<first,last>>): every document with what it loses (null: nothing).
+
+    Both joins read the same columns of the documents, so their shuffle is done once.
+    """
     rows = keyed(docs, id_col, text_col)
-    found = repeated(rows, window, unit, least_of, shards)
+    found = repeated(rows, window, unit, least_of, shards or shard_count(docs))
     ranges = found.groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    return rows.join(ranges, "row_key", "left").select("row_key", "doc_id", "text", "ranges")
+    return rows.join(ranges, "row_key", "left").select("row_key", "row_order", "doc_id", "text", "ranges")
 
 
 def removed(docs: DataFrame, window: int, unit: str, least_of: Callable, shards: int | None = None) -> DataFrame:
     """One row per document: counts and digest of what is kept."""
     ranges = removal_ranges(docs, window, unit, least_of, shards)
-    return ranges.select("doc_id", "text", "ranges").mapInArrow(remover(unit), "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string")
+    return ranges.mapInArrow(remover(unit), "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string")
