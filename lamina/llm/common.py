@@ -48,7 +48,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     clash = slim.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull())
     if clash.isEmpty():
-        return slim.select(F.col("doc_id").alias("row_key"), F.col("doc_id").alias("row_order"), "doc_id", "text")
+        # the filter drops nothing; joins would add it to one use of these rows and not to another
+        return slim.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("row_key"), F.col("doc_id").alias("row_order"), "doc_id", "text")
     return written(
         slim.select(
             F.monotonically_increasing_id().alias("row_key"),

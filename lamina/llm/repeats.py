@@ -31,30 +31,40 @@ from lamina.llm import seqs
 from lamina.llm.common import keyed, shard_count
 
 #: Bytes of text handled at once, and gathered before prints or runs are sent.
-PIECE, FLUSH_PRINTS, FLUSH = 1 << 20, 24 << 20, 6 << 20
-FIELDS = (("anchor", np.uint64), ("key", np.int64), ("late", np.int64), ("start", np.int64), ("size", np.uint32), ("lead", np.uint8), ("windows", np.uint8))
+PIECE, FLUSH_PRINTS, FLUSH = 1 << 20, 24 << 20, 12 << 20
+FIELDS = (("print", np.uint32), ("key", np.int64), ("late", np.int64), ("start", np.int64), ("size", np.uint32), ("lead", np.uint8), ("windows", np.uint8))
+
+
+def by_byte(x: np.ndarray) -> bytes:
+    """Values by significance of their bytes, which compress better so."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
 def pack(runs: dict[str, np.ndarray], symbols: np.ndarray) -> bytes:
-    """Runs and the bytes around them as one compressed value; keys travel as differences."""
+    """Runs and the bytes around them as one compressed value; keys and prints travel as differences."""
     parts = []
     for name, kind in FIELDS:
-        x = runs[name].astype(kind)
-        parts.append((np.diff(x, prepend=kind(0)) if name in ("key", "anchor") else x).tobytes())
-    body = struct.pack("<q", len(runs["key"])) + b"".join(parts) + symbols.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(body)
+        x = np.ascontiguousarray(runs[name].astype(kind))
+        parts.append(by_byte(np.diff(x, prepend=kind(0)) if name in ("key", "print") else x))
+    return zstandard.compress(struct.pack("<q", len(runs["key"])) + b"".join(parts) + symbols.tobytes(), 3)
 
 
 def unpack(blob: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    body = zstandard.ZstdDecompressor().decompress(blob)
+    body = zstandard.decompress(blob)
     n, at, runs = struct.unpack_from("<q", body)[0], 8, {}
     for name, kind in FIELDS:
-        x = np.frombuffer(body, kind, n, at)
-        runs[name] = np.cumsum(x, dtype=kind) if name in ("key", "anchor") else x
-        at += x.nbytes
+        wide = np.dtype(kind).itemsize
+        x = np.ascontiguousarray(np.frombuffer(body, np.uint8, n * wide, at).reshape(wide, n).T).view(kind).ravel()
+        runs[name] = np.cumsum(x, dtype=kind) if name in ("key", "print") else x
+        at += n * wide
     return runs, np.frombuffer(body, np.uint8, offset=at)
 
 
+def print_of(anchor: np.ndarray, shards: int) -> np.ndarray:
+    """What an anchor is known by within its shard."""
+    return (anchor // np.uint64(shards) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def byte_runs(texts: list[bytes], window: int, k: int = 16) -> tuple[dict[str, np.ndarray], np.ndarray, seqs.Spans]:
     """Runs of byte windows; ``at`` and ``size`` give the bytes around a run in the buffer."""
     buf = np.frombuffer(b"".join(texts), np.uint8)
@@ -139,7 +149,7 @@ def print_sender(shards: int, window: int, unit: str) -> Callable[[Iterator[pa.R
         keep = ~repeated
         keep[at[:-1]] = True
         anchor, key, order, place, flag = anchor[keep], key[keep], order[keep], place[keep], repeated[keep]
-        shard, rest = (anchor % np.uint64(shards)).astype(np.int64), (anchor // np.uint64(shards) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        shard, rest = (anchor % np.uint64(shards)).astype(np.int64), print_of(anchor, shards)
         sort = np.lexsort((rest, shard))
         shard = shard[sort]
         for a, b in zip(bounds(shard)[:-1], bounds(shard)[1:], strict=True):
@@ -224,15 +234,16 @@ def sender(shards: int, window: int, unit: str) -> Callable[[Iterator[pa.RecordB
         runs = {name: np.concatenate([x[name] for x, _ in lots]) for name in lots[0][0]}
         symbols = np.concatenate([x for _, x in lots])
         at = np.cumsum(runs["size"]) - runs["size"]
-        order = np.lexsort((runs["key"], runs["order"], runs["print"], runs["anchor"]))
-        same = (runs["anchor"][order][1:] == runs["anchor"][order][:-1]) & (runs["print"][order][1:] == runs["print"][order][:-1])
+        order = np.lexsort((runs["key"], runs["order"], runs["whole"], runs["anchor"]))
+        same = (runs["anchor"][order][1:] == runs["anchor"][order][:-1]) & (runs["whole"][order][1:] == runs["whole"][order][:-1])
         lead = np.concatenate(([True], ~same))
         least = runs["order"][order][lead][np.cumsum(lead) - 1]
         # later rows with a larger id are repeats for certain; rows with the same id are not
         done = runs["order"][order] > least
         keep, gone = order[~done], order[done]
         shard = (runs["anchor"] % np.uint64(shards)).astype(np.int64)
-        keep = keep[np.argsort(shard[keep], kind="stable")]
+        runs["print"] = print_of(runs["anchor"], shards)
+        keep = keep[np.lexsort((runs["print"][keep], shard[keep]))]
         cuts = bounds(shard[keep])
         rows: list[tuple[int, bool, bytes]] = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -244,7 +255,7 @@ def sender(shards: int, window: int, unit: str) -> Callable[[Iterator[pa.RecordB
             found = merged(runs["key"][gone], runs["start"][gone], runs["start"][gone] + runs["windows"][gone] + window - 1)
             home = (seqs.mix(found[0].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
             for s in np.unique(home):
-                rows.append((int(s), True, np.stack([x[home == s] for x in found]).tobytes()))
+                rows.append((int(s), True, zstandard.compress(by_byte(np.stack([x[home == s] for x in found]).ravel()), 1)))
         yield to_rows(rows)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,9 +278,9 @@ def sender(shards: int, window: int, unit: str) -> Callable[[Iterator[pa.RecordB
                     row, runs = row[chosen], {name: x[chosen] for name, x in runs.items()}
                     runs["key"], runs["order"] = keys[row], orders[row]
                     runs["late"] = runs["order"] - runs["key"]
-                    runs["print"] = spans.hash(runs["at"], runs["at"] + runs["size"])
+                    runs["whole"] = spans.hash(runs["at"], runs["at"] + runs["size"])
                     symbols = seqs.gather(buf, runs["at"], runs["size"])
-                    lots.append(({n: runs[n] for n in ("anchor", "key", "order", "late", "start", "size", "lead", "windows", "print")}, symbols))
+                    lots.append(({n: runs[n] for n in ("anchor", "key", "order", "late", "start", "size", "lead", "windows", "whole")}, symbols))
                 if held >= FLUSH and lots:
                     yield from flush(lots)
                     lots, held = [], 0
@@ -299,7 +310,8 @@ def shard_answer(window: int, least_of: Callable[[dict[str, np.ndarray], list[np
         lots = []
         for settled, body in zip(table.column("settled").to_pylist(), table.column("body"), strict=True):
             if settled:
-                found.append(tuple(np.frombuffer(body.as_py(), np.int64).reshape(3, -1)))
+                flat = np.frombuffer(zstandard.decompress(body.as_py()), np.uint8)
+                found.append(tuple(np.ascontiguousarray(flat.reshape(8, -1).T).view(np.int64).reshape(3, -1)))
             else:
                 lots.append(unpack(body.as_py()))
         if lots:
@@ -316,8 +328,8 @@ def shard_answer(window: int, least_of: Callable[[dict[str, np.ndarray], list[np
     def shared(runs: dict[str, np.ndarray], symbols: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Without the anchors that only one document has."""
         runs["at"] = np.cumsum(runs["size"].astype(np.int64)) - runs["size"]
-        order = np.argsort(runs["anchor"], kind="stable")
-        a, doc = runs["anchor"][order], (runs["key"] + runs["late"])[order]
+        order = np.argsort(runs["print"], kind="stable")
+        a, doc = runs["print"][order], (runs["key"] + runs["late"])[order]
         keep = order[np.repeat(several(a, doc), np.diff(bounds(a)))]
         out = {n: x[keep] for n, x in runs.items()}
         symbols = seqs.gather(symbols, out["at"], out["size"].astype(np.int64))
@@ -328,8 +340,8 @@ def shard_answer(window: int, least_of: Callable[[dict[str, np.ndarray], list[np
         size, windows, order = runs["size"].astype(np.int64), runs["windows"].astype(np.int64), runs["key"] + runs["late"]
         spans = seqs.Spans(symbols)
         whole = spans.hash(runs["at"], runs["at"] + size)
-        by = np.lexsort((order, whole, runs["anchor"]))
-        lead = np.concatenate(([True], (whole[by][1:] != whole[by][:-1]) | (runs["anchor"][by][1:] != runs["anchor"][by][:-1])))
+        by = np.lexsort((order, whole, runs["print"]))
+        lead = np.concatenate(([True], (whole[by][1:] != whole[by][:-1]) | (runs["print"][by][1:] != runs["print"][by][:-1])))
         rep = by[lead]  # the smallest document of each distinct context
         of = np.empty(len(by), np.int64)
         of[by] = np.cumsum(lead) - 1
