@@ -39,23 +39,25 @@ def shard_count(df: DataFrame, per_partition: int = 4) -> int:
     return per_partition * max(shuffle, scan_partitions(df))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns ``row_key`` (unique), ``row_order`` (the id, null last), id and text.
+def keyed_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """All columns, and ``_row_key`` (unique) and ``_row_order`` (the id, null last).
 
     Ids that are unique and not null are their own keys. Otherwise the rows are written once with
     a generated key, so that a later read sees the same keys even if executors were lost.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    clash = slim.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull())
+    own = F.col(id_col).cast("long")
+    clash = docs.select(own.alias("i")).groupBy("i").count().filter((F.col("count") > 1) | F.col("i").isNull())
     if clash.isEmpty():
         # the filter drops nothing; joins would add it to one use of these rows and not to another
-        return slim.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("row_key"), F.col("doc_id").alias("row_order"), "doc_id", "text")
-    return written(
-        slim.select(
-            F.monotonically_increasing_id().alias("row_key"),
-            F.coalesce("doc_id", F.lit(NULL_ORDER)).alias("row_order"),
-            "doc_id",
-            "text",
-        ),
-        "keyed",
-    )
+        return docs.withColumns({"_row_key": own, "_row_order": own}).filter(own.isNotNull())
+    return written(docs.withColumns({"_row_key": F.monotonically_increasing_id(), "_row_order": F.coalesce(own, F.lit(NULL_ORDER))}), "keyed")
+
+
+def slim(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row_key, row_order, doc_id and text of keyed rows."""
+    return rows.select(F.col("_row_key").alias("row_key"), F.col("_row_order").alias("row_order"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Just row_key, row_order, doc_id and text of documents, with keys as in ``keyed_rows``."""
+    return slim(keyed_rows(docs.select(id_col, text_col), id_col), id_col, text_col)

@@ -90,6 +90,8 @@ def rounded(docs: DataFrame, size: str = "size", rate: str = "rate", group: str
     dealt = dealt.join(counts, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
     dealt = dealt.withColumn("_bucket", F.pmod(F.xxhash64("_spread"), F.ceil(F.col("_n") / BUCKET))).drop("_n")
 
+    columns = [*docs.columns, "copies"]
+
     def copy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([size, "_spread", *by], ascending=[False, True, *[True] * len(by)], kind="stable")
         rates, sizes = pdf[rate].to_numpy(float), pdf[size].to_numpy(float)
@@ -100,7 +102,7 @@ def rounded(docs: DataFrame, size: str = "size", rate: str = "rate", group: str
             if n and part and owed >= n / 2:
                 extra[i] = 1
                 owed -= n
-        return pdf.assign(copies=np.minimum(whole + extra, MOST_COPIES).astype("int64"))[[*docs.columns, "copies"]]
+        return pdf.assign(copies=np.minimum(whole + extra, MOST_COPIES).astype("int64"))[columns]
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", copies long"
     return dealt.groupBy(group, "_bucket").applyInPandas(copy, schema)

@@ -36,8 +36,8 @@ def test_counts(spark):
 
 def test_cutoffs_hold_their_risk(spark):
     """1 % of good documents have many symbols: the cutoff that would reject them all does not stand."""
-    good = [(i, " ".join(f"w{i}x{j}" for j in range(20)) + (" # # # # # #" if i % 100 == 0 else ""), "en", None, None) for i in range(3000)]
-    bad = [(10_000 + i, " ".join(f"v{i}x{j}" for j in range(20)) + " #" * 60, "en", None, None) for i in range(50)]
+    good = [(i, " ".join(f"w{i}x{j}" for j in range(20)) + (" #1 $2 %3 &4 |5 <6" if i % 100 == 0 else ""), "en", None, None) for i in range(3000)]
+    bad = [(10_000 + i, " ".join(f"v{i}x{j} #{j} ##{j}" for j in range(20)), "en", None, None) for i in range(50)]
     labels = [(i, 1, 0) for i in range(3000)] + [(10_000 + i, 0, 0) for i in range(50)]
     docs = spark.createDataFrame(good + bad, SCHEMA)
     out = quality.judged(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
