@@ -44,7 +44,8 @@ def share_targets(sources: DataFrame, weight: Column, cap: float = MOST_COPIES)
     s = s.withColumn("rest", F.sum("weight").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)))
     s = s.withColumn("total", F.sum("source_size").over(W.partitionBy(F.lit(0))))
     s = s.withColumn("level", (F.col("total") - F.col("before")) / F.col("rest")).withColumn("capped", F.col("room") < F.col("level") * F.col("weight"))
-    level = F.coalesce(F.min(F.when(~F.col("capped"), F.col("level"))).over(W.partitionBy(F.lit(0))), F.lit(0.0))
+    # the first source not capped has the level of all the rest; those after it would come out lower
+    level = F.coalesce(F.max(F.when(~F.col("capped"), F.col("level"))).over(W.partitionBy(F.lit(0))), F.lit(0.0))
     return s.withColumn("share", level * F.col("weight")).select("source", "source_size", F.when(F.col("capped"), F.col("room")).otherwise(F.col("share")).alias("target"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import chat, decontaminate, fm_index, jaccard, licenses, mixing, quality, suffix_family, token_table
+from lamina.llm import chat, decontaminate, fm_index, jaccard, licenses, mixing, personal_data, quality, suffix_family, token_table
 
 #: The tokenizer file's name among the public ones, and the end id.
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -54,6 +54,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(EXTRA_CONVERSATION).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA_TEXT).alias("text"))
@@ -72,6 +76,7 @@ _ALL = (
     op5_benchmark_decontamination,
     op6_token_ids,
     op7_mixing,
+    op8_personal_data,
     op9_chat_formatting,
     op10_ngram_jaccard_join,
 )

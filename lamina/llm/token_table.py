@@ -17,6 +17,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from lamina.llm import seqs
 from lamina.llm.common import written
 
-#: Ids after which a block ends, bytes of text encoded at once, and words a task remembers.
-BLOCK_IDS, LOT, MEMORY = 1 << 20, 1 << 20, 300_000
+#: Ids after which a block ends, bytes of text encoded at once, words a task remembers, and words encoded as one text.
+BLOCK_IDS, LOT, MEMORY, TOGETHER = 1 << 20, 1 << 20, 500_000, 512
 
 
 class EliasFano:
@@ -109,7 +110,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -144,16 +148,46 @@ class WordEncoder:
             self.forget()
         raw = buf.tobytes()
         words = [raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-        new = [w for w in words if w not in self.known]
+        words = [w.lower() if w.isalpha() else w for w in words]  # ASCII letters alone: the tokenizer has no case
+        new = list(dict.fromkeys(w for w in words if w not in self.known))
         if new:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-            count = np.array([len(x) for x in found], np.int64)
-            self.known.update(zip(new, range(len(self.length), len(self.length) + len(new)), strict=True))
-            self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(count) - count))
-            self.length = np.concatenate((self.length, count))
-            self.ids = np.concatenate((self.ids, np.array([i for x in found for i in x], np.uint32)))
+            text = {w: w.decode("utf-8", "replace") for w in new}
+            letters = [w for w in new if text[w].isalpha()]
+            self._remember(letters, *self._together([text[w] for w in letters]))
+            others = [w for w in new if not text[w].isalpha()]
+            self._remember(others, *self._alone([text[w] for w in others]))
         return np.array([self.known[w] for w in words], np.int64)
 
+    def _remember(self, words: list[bytes], ids: np.ndarray, count: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.length), len(self.length) + len(words)), strict=True))
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(count) - count))
+        self.length = np.concatenate((self.length, count))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and how many each has."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        count = np.array([len(x) for x in found], np.int64)
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum())), count
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters, encoded many at once: each ends with one id that ends a word.
+
+        If a lot has more such ids than words (a letter became a letter and a mark), it is encoded word by word.
+        """
+        lots = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for lot, found in zip(lots, self.tokenizer.encode_batch_fast([" ".join(x) for x in lots], add_special_tokens=False), strict=True):
+            own = np.array(found.ids, np.uint32)
+            last = np.flatnonzero(self.ends_word[own])
+            if len(last) == len(lot):
+                count = np.diff(last, prepend=-1)
+            else:
+                own, count = self._alone(lot)
+            ids.append(own)
+            counts.append(count)
+        return np.concatenate(ids), np.concatenate(counts)
+
 
 BLOCKS = "part int, block int, n_docs long, n_ids long, width int, doc_ids array<long>, ends binary, ids binary"
 

@@ -43,8 +43,9 @@ def test_cutoffs_hold_their_risk(spark):
     out = quality.judged(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     kept = {r.doc_id: r.kept for r in out.collect()}
     assert not any(kept[10_000 + i] for i in range(50))
-    assert all(kept[i] for i in range(3000))
-    assert quality.kept_documents(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 3000
+    lost = [i for i in range(3000) if not kept[i]]
+    assert len(lost) <= 0.005 * 3000  # one rule's share of the budget; it could have lost 30
+    assert quality.kept_documents(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 3000 - len(lost)
 
 
 @pytest.mark.parametrize("k,n,p", [(0, 10, 0.1), (3, 40, 0.02), (5, 5, 0.3)])

@@ -35,7 +35,7 @@ def brute(rows):
 
 
 def test_round_trip(spark, monkeypatch):
-    texts = ["", None, "Hello, World. it's 3.14 x. y, z.", "J̌ é ́x     end", "<|endoftext|>. <|ENDOFTEXT|> a<|startoftext|>b", "word " * 5000, "ß İstanbul ΑΣ. \x00 \x1c x", "don't.,, a..b ,,a .5, 5.", "日本語。テスト, ok."]
+    texts = ["", None, "Hello, World. it's 3.14 x. y, z.", "J̌ é ́x     end", "<|endoftext|>. <|ENDOFTEXT|> a<|startoftext|>b", "word " * 5000, "ß İstanbul ΑΣ. \x00 \x1c x", "don't.,, a..b ,,a .5, 5.", "日本語。テスト, ok.", " ".join(chr(c) for c in range(0x41, 0x3000, 7)), "क़ख़ word İİ Kelvin \u212a ǅ ŉ"]
     rows = [(i * 3 % 17, t) for i, t in enumerate(texts)] + [(None, "last"), (4, "twin"), (4, "twin"), (4, "other")]
     df = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], SCHEMA).repartition(3)
     got = sorted((tuple(r) for r in token_table.tokens_round_trip(df, PATH).collect()), key=lambda r: r[1])
