@@ -30,7 +30,7 @@ from lamina.llm import seqs
 from lamina.llm.common import written
 
 #: Ids after which a block ends, bytes of text encoded at once, words a task remembers, and words encoded as one text.
-BLOCK_IDS, LOT, MEMORY, TOGETHER = 1 << 20, 1 << 20, 500_000, 512
+BLOCK_IDS, LOT, MEMORY, TOGETHER = 1 << 20, 1 << 21, 1_000_000, 512
 
 
 class EliasFano:
@@ -117,7 +117,8 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        # known words by 64-bit hash, ascending, and where their ids are
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,32 +138,38 @@ class WordEncoder:
         e[where[cut]] -= 1
         s[where[cut] + 1] = e[where[cut] + 1] - 1
         part_first = np.concatenate((where, [len(s)]))[first]
-        _, sample, inverse = np.unique(seqs.Spans(buf).hash(s, e), return_index=True, return_inverse=True)
-        slots = self._slots(buf, s[sample], e[sample])[inverse]
+        kinds, sample, inverse = np.unique(seqs.Spans(buf).hash(s, e), return_index=True, return_inverse=True)
+        slots = self._slots(kinds, buf, s[sample], e[sample])[inverse]
         lengths = self.length[slots]
         ends = np.concatenate(([0], np.cumsum(lengths)))
         return seqs.gather(self.ids, self.start[slots], lengths), np.diff(ends[part_first])
 
-    def _slots(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        if len(self.known) > MEMORY:
+    def _slots(self, kinds: np.ndarray, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Where the ids of words (by ascending hash) are; new words are encoded first."""
+        if len(self.hashes) > MEMORY:
             self.forget()
-        raw = buf.tobytes()
-        words = [raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-        words = [w.lower() if w.isalpha() else w for w in words]  # ASCII letters alone: the tokenizer has no case
-        new = list(dict.fromkeys(w for w in words if w not in self.known))
-        if new:
-            text = {w: w.decode("utf-8", "replace") for w in new}
-            letters = [w for w in new if text[w].isalpha()]
-            self._remember(letters, *self._together([text[w] for w in letters]))
-            others = [w for w in new if not text[w].isalpha()]
-            self._remember(others, *self._alone([text[w] for w in others]))
-        return np.array([self.known[w] for w in words], np.int64)
-
-    def _remember(self, words: list[bytes], ids: np.ndarray, count: np.ndarray) -> None:
-        self.known.update(zip(words, range(len(self.length), len(self.length) + len(words)), strict=True))
+        at = np.searchsorted(self.hashes, kinds)
+        known = np.zeros(len(kinds), bool)
+        there = at < len(self.hashes)
+        known[there] = self.hashes[at[there]] == kinds[there]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = buf.tobytes()
+            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)]
+            letters = np.array([w.isalpha() for w in words])
+            slots = np.empty(len(new), np.int64)
+            for own, encode in ((letters, self._together), (~letters, self._alone)):
+                slots[own] = self._remember(*encode([words[i] for i in np.flatnonzero(own)]))
+            self.hashes, self.slots = np.insert(self.hashes, at[new], kinds[new]), np.insert(self.slots, at[new], slots)
+            at = np.searchsorted(self.hashes, kinds)
+        return self.slots[at]
+
+    def _remember(self, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        first = len(self.length)
         self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(count) - count))
         self.length = np.concatenate((self.length, count))
         self.ids = np.concatenate((self.ids, ids))
+        return np.arange(first, len(self.length))
 
     def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words one after the other, and how many each has."""
