@@ -39,7 +39,7 @@ from lamina.llm.repeats import bounds, by_byte, to_rows
 
 SHINGLE, PERCENT = 4, 85
 #: Bytes handled at once and gathered before sending; slots of the rarity count; members of a list that is searched as a group, and of a block of one.
-PIECE, FLUSH, SLOTS, LONG_LIST, BLOCK = 1 << 20, 24 << 20, 1 << 18, 48, 1024
+PIECE, FLUSH, SLOTS, LONG_LIST, BLOCK = 1 << 20, 24 << 20, 1 << 18, 48, 256
 #: DivideSkip's weight of long lists (a fixed value of the published method).
 MU = 0.0085
 _UPPER = bytes(range(65, 91))
