@@ -1,4 +1,7 @@
-"""Named queries over the driver's tables."""
+"""Queries of the engine's own operators and the SQL that says the same; the training-data ones are elsewhere."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lamina.plans import accounts, ledger, listing, reports, retrieval, scalars, state, vocabulary
+
+_PARTS = (listing, vocabulary, retrieval, scalars, ledger, accounts, state, reports)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
