@@ -1,13 +1,20 @@
 """Quality rules with risk-controlled thresholds.
 
 A rule compares one feature of a document with a cutoff. Cutoffs are chosen for each stratum on
-labelled holdouts: from the most lenient on, a cutoff stands while an exact binomial test shows,
-at its share of the error level, that the rule rejects at most its share of good documents. The
-sequence stops at the first cutoff that cannot be shown, so one test level covers a whole grid
-(fixed-sequence testing); Bonferroni's correction covers rules and strata, and the budget of
-rejected good documents is divided among the rules. With probability 1 - DELTA all strata keep at
-least 1 - BUDGET of their good documents, besides those that fail the base rules. A stratum with
-too few labels to show anything gets no cutoff and keeps its documents.
+labelled holdouts: from the most lenient on, a step stands while an exact binomial test shows, at
+the stratum's share of the error level, that good documents are rejected at most at the allowed
+rate. The sequence stops at the first step that cannot be shown, so one test level covers it all
+(fixed-sequence testing); Bonferroni's correction covers strata. There are two sequences:
+
+* a stratum with good labels enough to outlive a false rejection by each rule tests each rule by
+  itself, at its share of the budget and of the level;
+* a smaller one tests all rules together, at the whole budget and level: every rule's most lenient
+  cutoff, then one rule's grid after the other. Rules that catch more of the bad labels come first;
+  bad documents are a sample of their own, so the order does not depend on what is tested.
+
+Only the number of good labels picks the sequence. With probability 1 - DELTA all strata keep at
+least 1 - BUDGET of their good documents, besides those that fail the base rules. A stratum of
+fewer good labels than ``labels_needed`` can show nothing, gets no cutoff and keeps its documents.
 
 Results: one row per document. A null text has no words and fails the base rules; null strata are
 a stratum of their own.
@@ -19,9 +26,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamina.llm import seqs
@@ -146,37 +153,63 @@ def shown(rejected: int, good: int, risk: float, level: float) -> bool:
     return binomial_tail(int(rejected), int(good), risk) <= level
 
 
+def labels_needed(strata: int, budget: float = BUDGET, delta: float = DELTA) -> int:
+    """Good labels that a stratum needs to get any cutoff, if none of them is rejected."""
+    return math.ceil(math.log(delta / strata) / math.log1p(-budget))
+
+
+def steps(n_cutoffs: list[int], caught: list[int]) -> list[tuple[int, int]]:
+    """(rule, cutoff) of the joint sequence, by numbers; caught: bad documents above each rule's last cutoff."""
+    order = sorted(range(len(n_cutoffs)), key=lambda r: -caught[r])
+    return [(r, 0) for r in order] + [(r, i) for r in order for i in range(1, n_cutoffs[r])]
+
+
+def chosen_cutoffs(levels: np.ndarray, good: np.ndarray, bad: np.ndarray, grids: list[list[float]], strata: int, budget: float = BUDGET, delta: float = DELTA) -> list[float | None]:
+    """A stratum's cutoff for each rule (None: off).
+
+    levels: cells by rules, the number of the first cutoff below the feature; good, bad: documents of each cell.
+    """
+    n, rules = int(good.sum()), len(grids)
+    risk, level = budget / rules, delta / (rules * strata)
+    cutoffs: list[float | None] = [None] * rules
+    if n and binomial_tail(1, n, risk) <= level:
+        for r, grid in enumerate(grids):
+            for i, c in enumerate(grid):
+                if not shown(good[levels[:, r] <= i].sum(), n, risk, level):
+                    break
+                cutoffs[r] = c
+        return cutoffs
+    rejected = np.zeros(len(levels), bool)
+    for r, i in steps([len(g) for g in grids], [int(bad[levels[:, r] < len(g)].sum()) for r, g in enumerate(grids)]):
+        rejected |= levels[:, r] <= i
+        if not shown(good[rejected].sum(), n, budget, delta / strata):
+            break
+        cutoffs[r] = grids[r][i]
+    return cutoffs
+
+
 def thresholds(features: DataFrame, labels: DataFrame, grids: dict[str, list[float]] | None = None, budget: float = BUDGET, delta: float = DELTA) -> DataFrame:
     """stratum and a cutoff for each rule (null: the rule is off there).
 
-    labels: doc_id and quality (1 is good). Only good documents that pass the base rules count.
-    Counting is one aggregation; the strata's few counts are tested in tasks.
+    labels: doc_id and quality (1 is good, 0 is bad). Only documents that pass the base rules count.
+    Counting is one aggregation to cells of equal levels, whose number the grids bound; each
+    stratum's cells are tested in a task.
     """
     grids = grids or GRIDS
-    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    held = features.join(good, "doc_id").filter(~F.col("base_failed"))
-    counts = held.groupBy("stratum").agg(F.count("*").alias("good"), *(F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r, grid in grids.items() for i, c in enumerate(grid)))
-    rows = counts.select(
-        "stratum",
-        "good",
-        F.count("*").over(W.partitionBy(F.lit(0))).alias("strata"),
-        F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.array(*(f"{r}_{i}" for i in range(len(grid)))).alias("rejected")) for r, grid in grids.items()))).alias("x"),
-    ).select("stratum", "good", "strata", "x.*")
-
-    def choose(pdfs):
-        for pdf in pdfs:
-            out = []
-            for r in pdf.itertuples():
-                level, risk, cutoff = delta / (len(grids) * r.strata), budget / len(grids), None
-                for c, rejected in zip(grids[r.rule], r.rejected, strict=True):
-                    if not shown(rejected, r.good, risk, level):
-                        break
-                    cutoff = c
-                out.append(cutoff)
-            yield pdf.assign(cutoff=np.array(out, float))[["stratum", "rule", "cutoff"]]
-
-    chosen = rows.mapInPandas(choose, "stratum string, rule string, cutoff double")
-    return chosen.groupBy("stratum").agg(*(F.max(F.when((F.col("rule") == r) & ~F.isnan("cutoff"), F.col("cutoff"))).alias(f"{r}_cutoff") for r in grids))
+    judged = labels.filter("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality") == 1).alias("good"))
+    held = features.join(judged, "doc_id").filter(~F.col("base_failed"))
+    level = {r: sum(((F.col(r) <= c).cast("int") for c in grid), F.lit(0)).alias(f"_{r}") for r, grid in grids.items()}
+    cells = held.groupBy("stratum", *level.values()).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    strata = held.filter("good").select("stratum").distinct().agg(F.count("*").alias("strata"))
+    names = [f"{r}_cutoff" for r in grids]
+
+    def choose(pdf):
+        found = chosen_cutoffs(pdf[[f"_{r}" for r in grids]].to_numpy(), pdf["good"].to_numpy(), pdf["bad"].to_numpy(), list(grids.values()), max(1, int(pdf["strata"].iloc[0])), budget, delta)
+        return pd.DataFrame([[pdf["stratum"].iloc[0], *found]], columns=["stratum", *names])
+
+    schema = ", ".join(["stratum string", *(f"{n} double" for n in names)])
+    # one row of totals
+    return cells.crossJoin(F.broadcast(strata)).groupBy("stratum").applyInPandas(choose, schema).select("stratum", *(F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in names))
 
 
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:

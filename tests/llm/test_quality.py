@@ -3,6 +3,7 @@
 import math
 import re
 
+import numpy as np
 import pytest
 
 from lamina.llm import quality
@@ -62,3 +63,32 @@ def test_edges(spark):
     assert quality.quality_verdicts(df, labels).count() == 3
     kept = quality.kept_documents(df, labels)
     assert kept.columns == df.columns and kept.count() == 0
+
+
+def test_small_strata_get_cutoffs(spark):
+    """A few hundred good labels a stratum are enough to reject blatant junk; too few are not."""
+    sizes = {"aa": 280, "bb": 310, "cc": 420, "dd": 30}
+    assert quality.labels_needed(len(sizes)) == 217
+    docs, labels, junk = [], [], {s: [] for s in sizes}
+    for s, n in sizes.items():
+        for i in range(n):
+            labels.append((len(docs), 1, 0))
+            docs.append((len(docs), " ".join(f"{s}{i}x{j}" for j in range(20)), s, None, None))
+        for i in range(20):
+            labels += [(len(docs), 0, 0)] if i % 2 else []
+            junk[s].append(len(docs))
+            docs.append((len(docs), " ".join(f"{s}v{i}x{j} ##{j}" for j in range(20)), s, None, None))
+    df, marks = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    gone = {r.doc_id for r in quality.judged(df, marks).filter("not kept").collect()}
+    assert gone == {i for s in ("aa", "bb", "cc") for i in junk[s]}
+    assert quality.kept_documents(df, marks).count() == len(docs) - len(gone)
+
+
+def test_joint_sequence_holds_the_whole_budget():
+    """All rules together reject no more than can be shown, and a rule that rejects good documents does not stop those before it."""
+    grids = [[0.3, 0.1], [0.6, 0.2]]
+    levels, bad = np.array([[2, 2], [0, 2], [2, 1]]), np.array([0, 9, 1])
+    assert quality.chosen_cutoffs(levels, np.array([300, 0, 0]), bad, grids, 4) == [0.1, 0.2]
+    assert quality.chosen_cutoffs(levels, np.array([299, 0, 1]), bad, grids, 4) == [0.1, 0.6]
+    assert quality.chosen_cutoffs(levels, np.array([299, 1, 0]), bad, grids, 4) == [None, None]
+    assert quality.chosen_cutoffs(levels, np.array([216, 0, 0]), bad, grids, 4) == [None, None]
