@@ -7,10 +7,10 @@ and without scanning a run of characters twice.
 
 The method adds kinds: high-recall generators propose spans, which may overlap; features of each
 span's format and of the text around it go through boosted trees; a span is kept when its score
-reaches its kind's threshold, calibrated on held-out examples for ``PRECISION``. Of overlapping
-spans the best stays, and base spans stay before all. The trees are fitted in the job, on
-``EXAMPLES`` made-up examples from a fixed seed (no corpus has labels for them), and become nested
-CASE expressions.
+reaches its kind's threshold, calibrated on held-out examples for ``PRECISION``. Overlapping spans
+are settled from the best on; base spans stay, and hide only what lies inside them. The trees are
+fitted in the job, on ``EXAMPLES`` made-up examples from a fixed seed (no corpus has labels for
+them), and become nested CASE expressions.
 
 Results: one row per document. Null and empty texts have no spans; places are code points, end
 exclusive; rows with equal id and text have equal results; extra columns are left out.
@@ -46,6 +46,7 @@ GENERATORS = {
 }
 KINDS = [*BASE, *GENERATORS]
 SPAN = "array<struct<start: int, end: int, value: string, before: string, after: string>>"
+ADDED = "array<struct<start: int, order: int, end: int, kind: string, score: double>>"
 NEAR, LOT = 30, 128
 
 
@@ -279,6 +280,17 @@ def added_spans(rows: DataFrame) -> DataFrame:
     return scored.filter(reach).select("_id", "_hash", "kind", "start", "end", "score")
 
 
+def settled(base: Column, added: Column) -> Column:
+    """Of the added spans: from the best on, each that no base span holds whole and that overlaps none kept before it.
+
+    A span that reaches beyond a base span stays whole beside it, so that all its characters are reported.
+    """
+    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    beyond = F.filter(added, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    ranked = F.array_sort(F.transform(beyond, lambda s: F.struct((-s["score"]).alias("rank"), s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s.alias("span"))))
+    return F.aggregate(F.transform(ranked, lambda r: r["span"]), F.array().cast(ADDED), lambda kept, s: F.when(F.exists(kept, lambda k: overlap(s, k)), kept).otherwise(F.concat(kept, F.array(s))))
+
+
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base (array of order, start, end, kind) and added (the same with a score) of every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
@@ -294,12 +306,9 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = added_spans(rows).groupBy("_id", "_hash").agg(F.collect_set(F.struct("start", order.alias("order"), "end", "kind", "score")).alias("added"))
     found = found.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "added")
     joined = base.join(found, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left")
-    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["order"] < b["order"]))))
-    free = F.filter("added", lambda s: ~F.exists("base", lambda b: overlap(s, b)))
-    joined = joined.withColumn("added", free)
-    best = F.filter("added", lambda s: ~F.exists("added", lambda o: overlap(s, o) & better(o, s)))
-    return joined.select(F.col("_id").alias("doc_id"), "base", F.coalesce(best, F.array().cast("array<struct<start: int, order: int, end: int, kind: string, score: double>>")).alias("added"))
+    none = F.array().cast(ADDED)
+    best = settled(F.col("base"), F.coalesce("added", none))
+    return joined.select(F.col("_id").alias("doc_id"), "base", best.alias("added"))
 
 
 def _listed(items: Column) -> Column:

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from lamina.llm import personal_data as pd
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -81,3 +83,25 @@ def test_edges(spark):
     df = spark.createDataFrame([(None, "a@b.co", 1), (None, "a@b.co", 1), (1, None, 2), (1, "b@c.de", 2)], "doc_id long, text string, spans int")
     got = sorted((r.doc_id or 0, r.n_email, r.spans) for r in pd.personal_data(df).collect())
     assert got == [(0, 1, "email:0:6"), (0, 1, "email:0:6"), (1, 0, ""), (1, 1, "email:0:6")]
+
+
+def test_chains_and_spans_beyond_base(spark):
+    """What a beaten span overlapped stays; a span that reaches beyond a base span stays whole, one inside it goes."""
+    kind = "array<struct<start: int, order: int, end: int, kind: string, score: double>>"
+    base = "array<struct<start: int, order: int, end: int, kind: string>>"
+    rows = [
+        (0, [], [(20, 4, 30, "c", 0.7), (0, 4, 12, "a", 0.9), (10, 4, 22, "b", 0.8)]),
+        (1, [(5, 2, 17, "card")], [(0, 4, 40, "secret", 0.9)]),
+        (2, [(5, 2, 17, "card")], [(5, 4, 17, "secret", 0.9), (6, 4, 9, "secret", 0.8)]),
+        (3, [], [(0, 5, 9, "y", 0.5), (0, 4, 9, "x", 0.5)]),
+        (4, [], []),
+    ]
+    df = spark.createDataFrame(rows, f"id int, base {base}, added {kind}")
+    got = {r.id: sorted(s.kind for s in r.kept) for r in df.select("id", pd.settled(F.col("base"), F.col("added")).alias("kept")).collect()}
+    assert got == {0: ["a", "c"], 1: ["secret"], 2: [], 3: ["x"], 4: []}
+
+
+def test_secret_with_a_card_inside(spark):
+    text = 'x token = "24be64a4539148803436467cf46b2d7c90f3602a" y'
+    found = pd.personal_data(spark.createDataFrame([(1, text, None, None, None)], SCHEMA)).first()
+    assert found.n_card == 1 and any(s.startswith("secret:") for s in found.spans.split(",")), found.spans
