@@ -6,7 +6,9 @@ budget of ``RATE * n`` edits. Cut into one piece more than the budget, any such
 piece unchanged. All pieces are searched at once (Aho-Corasick); around each hit, the item's best
 match with free ends is measured by Myers' bit-parallel edit distance.
 
-The benchmark is read in blocks of bounded size, whatever its own size; each block is one pass.
+The benchmark is searched in blocks of bounded size, each of which is one pass; the driver holds all
+blocks while it builds the passes, so its memory bounds the benchmark. An item without an id is an
+item like others, with a null item_id in the result.
 Items of fewer than ``MIN_BYTES`` bytes say too little and are left out; the budget is lowered so
 that no piece has fewer than ``MIN_PIECE``. Null or empty texts hold nothing; repeated items count
 once for each id.
@@ -82,7 +84,7 @@ class Myers:
 class Matcher:
     """Items to search for in many texts."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int | None, bytes]]):
         import ahocorasick
 
         self.items, self.myers = [x[1] for x in items], {}
@@ -120,15 +122,15 @@ class Matcher:
         return out
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int, bytes]]]:
+def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int | None, bytes]]]:
     """The normal texts of items in blocks of bounded bytes, each of which a task can hold."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("t")).filter("i is not null")
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("t"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = 1 + 2 * size // BLOCK_BYTES
     blocks = []
     for b in range(n):
         own = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()
-        items = sorted({(r.i, normal(r.t.encode())) for r in own})
+        items = sorted({(r.i, normal(r.t.encode())) for r in own}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         blocks.append([x for x in items if len(x[1]) >= MIN_BYTES])
     return [b for b in blocks if b]
 
@@ -147,7 +149,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def _finder(block: list[tuple[int, bytes]]):
+def _finder(block: list[tuple[int | None, bytes]]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(block)
         for batch in batches:
@@ -167,7 +169,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, with the columns they had; no row is shuffled."""
     at, names = docs.columns.index("text"), docs.columns
 
-    def cleaner(block: list[tuple[int, bytes]]):
+    def cleaner(block: list[tuple[int | None, bytes]]):
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block)
             for batch in batches:

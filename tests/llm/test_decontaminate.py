@@ -71,3 +71,12 @@ def test_blocks_and_edges(spark, monkeypatch):
     assert de.clean_documents(docs, bench).count() == 0
     assert de.clean_documents(docs, bench.limit(0)).count() == 2
     assert de.contaminations(spark.createDataFrame([], SCHEMA), bench).count() == 0
+
+
+def test_items_without_an_id(spark):
+    item, other = "the quick brown fox jumps over the lazy dog near the old river bank", "seven slow turtles walked along the dusty road to the market town"
+    bench = spark.createDataFrame([(None, item), (None, other), (None, item), (3, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "nothing of the kind here"), (3, other)], "doc_id long, text string")
+    found = sorted(((r.doc_id, r.item_id) for r in de.contaminations(docs, bench).collect()), key=str)
+    assert found == [(1, 3), (1, None), (3, None)]
+    assert [r.doc_id for r in de.clean_documents(docs, bench.filter("item_id is null")).collect()] == [2]
