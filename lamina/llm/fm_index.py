@@ -130,7 +130,7 @@ def least_of(window: int):
         inner = np.flatnonzero(is_end)
         begin = np.sort(np.concatenate((stop - size, inner + 1)))
         finish = np.sort(np.concatenate((stop, inner)))
-        _, word = np.unique(seqs.Spans(buf).hash(begin, finish), return_inverse=True)
+        _, word = seqs.distinct_spans(buf, begin, finish)
         count = runs["windows"] + window - 1
         n = len(count)
         # the text: each run's words from 1 on, then 0

@@ -55,7 +55,7 @@ def need(size: int, percent: int) -> int:
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Each text's distinct shingles, ascending; with fewer than k words the whole sequence as one."""
     buf, start, end, first = seqs.split_words([t.translate(_FOLD) for t in texts])
-    words = seqs.Spans(buf).hash(start, end) if len(start) else np.zeros(0, np.uint64)
+    words = seqs.span_hashes(buf, start, end)
     grams = seqs.shingles(words, k)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

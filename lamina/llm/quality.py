@@ -69,7 +69,7 @@ def _counts(texts: list[bytes]) -> list[np.ndarray]:
     joined, start, end, first = seqs.split_words(texts)
     words = np.diff(first)
     repeats = np.zeros(n, np.int64)
-    grams = seqs.shingles(seqs.Spans(joined).hash(start, end), SHINGLE) if len(start) else np.zeros(0, np.uint64)
+    grams = seqs.shingles(seqs.span_hashes(joined, start, end), SHINGLE) if len(start) else np.zeros(0, np.uint64)
     if len(grams):
         text = np.repeat(np.arange(n), words)[: len(grams)]
         inside = np.arange(len(grams)) + SHINGLE <= first[text + 1]

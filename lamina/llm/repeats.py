@@ -65,23 +65,22 @@ def print_of(anchor: np.ndarray, shards: int) -> np.ndarray:
     return (anchor // np.uint64(shards) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def byte_runs(texts: list[bytes], window: int, k: int = 16) -> tuple[dict[str, np.ndarray], np.ndarray, seqs.Spans]:
+def byte_runs(texts: list[bytes], window: int, k: int = 16) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Runs of byte windows; ``at`` and ``size`` give the bytes around a run in the buffer."""
     buf = np.frombuffer(b"".join(texts), np.uint8)
     first = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
     grams = seqs.byte_grams(buf, k)
     text, start, count, place = seqs.anchors(grams, k, window, first)
-    return {"text": text, "at": start, "start": start - first[text], "size": count + window - 1, "lead": place - start, "windows": count, "anchor": grams[place]}, buf, seqs.Spans(buf)
+    return {"text": text, "at": start, "start": start - first[text], "size": count + window - 1, "lead": place - start, "windows": count, "anchor": grams[place]}, buf
 
 
-def word_runs(texts: list[bytes], window: int, k: int = 4) -> tuple[dict[str, np.ndarray], np.ndarray, seqs.Spans]:
+def word_runs(texts: list[bytes], window: int, k: int = 4) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Runs of word windows; ``start`` and ``windows`` count words, ``at`` and ``size`` bytes of the joined words."""
     buf, begin, end, first = seqs.split_words(texts)
-    spans = seqs.Spans(buf)
-    grams = seqs.shingles(spans.hash(begin, end), k)
+    grams = seqs.shingles(seqs.span_hashes(buf, begin, end), k)
     text, start, count, place = seqs.anchors(grams, k, window, first)
     last = end[start + count + window - 2] if len(start) else start
-    return {"text": text, "at": begin[start], "start": start - first[text], "size": last - begin[start], "lead": place - start, "windows": count, "anchor": grams[place]}, buf, spans
+    return {"text": text, "at": begin[start], "start": start - first[text], "size": last - begin[start], "lead": place - start, "windows": count, "anchor": grams[place]}, buf
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, cut: Callable[[bytes], list[tuple[int, bytes]]]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -168,7 +167,7 @@ def print_sender(shards: int, window: int, unit: str) -> Callable[[Iterator[pa.R
             keys, orders = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             data, offsets = seqs.utf8_column(batch.column(2))
             for lot in pieces(data, offsets, cut):
-                runs, _, _ = find([x[2] for x in lot], window)
+                runs, _ = find([x[2] for x in lot], window)
                 held += sum(len(x[2]) for x in lot)
                 if len(runs["text"]):
                     row = np.array([x[0] for x in lot], np.int64)[runs["text"]]
@@ -268,7 +267,7 @@ def sender(shards: int, window: int, unit: str) -> Callable[[Iterator[pa.RecordB
             row_of = np.repeat(np.arange(len(batch)), np.diff(np.asarray(places.offsets)))
             wanted = np.sort(row_of << 40 | places.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
             for lot in pieces(data, offsets, cut):
-                runs, buf, spans = find([x[2] for x in lot], window)
+                runs, buf = find([x[2] for x in lot], window)
                 held += sum(len(x[2]) for x in lot)
                 row = np.array([x[0] for x in lot], np.int64)[runs["text"]]
                 runs["start"] = runs["start"] + np.array([x[1] for x in lot], np.int64)[runs["text"]]
@@ -278,8 +277,9 @@ def sender(shards: int, window: int, unit: str) -> Callable[[Iterator[pa.RecordB
                     row, runs = row[chosen], {name: x[chosen] for name, x in runs.items()}
                     runs["key"], runs["order"] = keys[row], orders[row]
                     runs["late"] = runs["order"] - runs["key"]
-                    runs["whole"] = spans.hash(runs["at"], runs["at"] + runs["size"])
                     symbols = seqs.gather(buf, runs["at"], runs["size"])
+                    stop = np.cumsum(runs["size"])
+                    runs["whole"] = seqs.span_hashes(symbols, stop - runs["size"], stop)
                     lots.append(({n: runs[n] for n in ("anchor", "key", "order", "late", "start", "size", "lead", "windows", "whole")}, symbols))
                 if held >= FLUSH and lots:
                     yield from flush(lots)
@@ -338,8 +338,7 @@ def shard_answer(window: int, least_of: Callable[[dict[str, np.ndarray], list[np
 
     def covered(runs: dict[str, np.ndarray], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size, windows, order = runs["size"].astype(np.int64), runs["windows"].astype(np.int64), runs["key"] + runs["late"]
-        spans = seqs.Spans(symbols)
-        whole = spans.hash(runs["at"], runs["at"] + size)
+        whole = seqs.span_hashes(symbols, runs["at"], runs["at"] + size)
         by = np.lexsort((order, whole, runs["print"]))
         lead = np.concatenate(([True], (whole[by][1:] != whole[by][:-1]) | (runs["print"][by][1:] != runs["print"][by][:-1])))
         rep = by[lead]  # the smallest document of each distinct context

@@ -16,7 +16,12 @@ BYTE_CODE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _POS_BITS = np.uint64(24)
 _POS_MASK = np.uint64((1 << 24) - 1)
-_powers: dict[str, np.ndarray] = {}
+#: A key for each place of a span (places beyond have two), and a value for each byte (0 for the space, which may stand between spans).
+_KEYS = 1 << 12
+_PLACE_KEY = _RANDOM.integers(1, 2**63, _KEYS, dtype=np.uint64)
+_BYTE_VALUE = np.arange(1, 257, dtype=np.uint64)
+_BYTE_VALUE[0x20] = 0
+_AT_ONCE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,30 +34,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 21)
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        for name, base in (("up", BASE), ("down", inverse)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"][:n], _powers["down"][:n]
+def _weighed(block: np.ndarray, place: np.ndarray) -> np.ndarray:
+    key = _PLACE_KEY[place & (_KEYS - 1)]
+    if len(place) and int(place.max()) >= _KEYS:
+        key = key * (mix((place >> 12).astype(np.uint64)) | np.uint64(1))
+    return _BYTE_VALUE[block] * key
 
 
-class Spans:
-    """Hashes of any byte ranges of one buffer, by prefix sums."""
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of byte ranges, ascending, apart and not empty, with at most spaces between them.
 
-    def __init__(self, buf: np.ndarray):
-        up, self.down = _base_powers(len(buf) + 1)
-        self.sums = np.empty(len(buf) + 1, np.uint64)
-        self.sums[0] = 0
-        np.cumsum(BYTE_CODE[buf] * up[:-1], out=self.sums[1:])
-
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.down[start]
-        return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    Multilinear: each place of a range has a random key of its own, so two ranges agree by chance
+    alone. (A polynomial modulo 2**64 has ranges that agree for any base.)
+    """
+    out = np.empty(len(start), np.uint64)
+    if not len(start):
+        return out
+    for i, j in slices(np.append(start, end[-1]), _AT_ONCE):
+        if j - i == 1:  # a long range by parts
+            parts = range(int(start[i]), int(end[i]), _AT_ONCE)
+            out[i] = np.sum([_weighed(buf[a : min(a + _AT_ONCE, end[i])], np.arange(a, min(a + _AT_ONCE, end[i])) - start[i]).sum(dtype=np.uint64) for a in parts], dtype=np.uint64)
+        else:
+            first, last = int(start[i]), int(end[j - 1])
+            size = np.diff(np.append(start[i:j], last))
+            place = np.arange(first, last) - np.repeat(start[i:j], size)
+            out[i:j] = np.add.reduceat(_weighed(buf[first:last], place), start[i:j] - first)
+    return mix(out + (end - start).astype(np.uint64) * BASE)
+
+
+def distinct_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words among ranges with just spaces between them, compared byte by byte, and the number of each range's word."""
+    data = buf[int(start[0]) : int(end[-1])] if len(start) else buf[:0]
+    offsets = np.concatenate(([0], np.cumsum(end - start, dtype=np.int64)))
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[data != 0x20]))])
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
 
 
 def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +76,12 @@ def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column, "").cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return binary_column(column)
+
+
+def binary_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and offsets of a column of large strings or binaries without nulls."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return data, offsets
@@ -75,14 +96,24 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+_SPACES = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
+
+
 def split_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of texts: a buffer of words joined by one space, each word's start and end, and the n + 1 offsets of texts in words."""
-    lines = [b" ".join(t.split()) for t in texts]
-    buf = np.frombuffer(b" ".join(x for x in lines if x), np.uint8)
-    counts = np.array([x.count(b" ") + 1 if x else 0 for x in lines], np.int64)
-    first = np.concatenate(([0], np.cumsum(counts)))
-    if not len(buf):
-        return buf, np.zeros(0, np.int64), np.zeros(0, np.int64), first
+    raw = np.frombuffer(b" ".join(texts).translate(_SPACES), np.uint8)
+    if not len(raw):
+        return raw, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    blank = raw == 0x20
+    after = np.empty(len(raw), bool)  # whether a blank, or nothing, stands before
+    after[0], after[1:] = True, blank[:-1]
+    begin = np.flatnonzero(after & ~blank)
+    edges = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
+    first = np.searchsorted(begin, edges)
+    if not len(begin):
+        return raw[:0], begin, begin, first
+    buf = raw[~(blank & after)]
+    buf = buf[:-1] if buf[-1] == 0x20 else buf
     gaps = np.flatnonzero(buf == 0x20)
     return buf, np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(buf)])), first
 

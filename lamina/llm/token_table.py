@@ -7,16 +7,18 @@ with the place of every 64th one. ``select`` then gives any document's offset fr
 ``2 + log2(ids / documents)`` bits a document; a block's own start comes from the sums of the
 blocks before it. Documents keep together; order is by id, nulls last, then by text.
 
-Results: one row per document and copy. A null or empty text has the end id alone.
+Results: one row per document and copy. A null or empty text has the end id alone; a text of any
+length is encoded whole; extra columns are left out. Rows are dealt to ranges by id and, within an
+id (or none), by the beginning of the text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,10 +29,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamina.llm import seqs
-from lamina.llm.common import written
+from lamina.llm.common import scan_partitions, written
 
-#: Ids after which a block ends, bytes of text encoded at once, words a task remembers, and words encoded as one text.
-BLOCK_IDS, LOT, MEMORY, TOGETHER = 1 << 20, 1 << 21, 1_000_000, 512
+#: Ids after which a block ends, bytes of text encoded at once, bytes of remembered words in a task, words encoded as one text, and characters of a text that the ranges of rows go by.
+BLOCK_IDS, LOT, MEMORY, TOGETHER, PREFIX = 1 << 20, 1 << 21, 24 << 20, 512, 32
+#: Fixed value: the pattern of the tokenizers whose texts can be encoded word by word.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class EliasFano:
@@ -93,16 +97,21 @@ class EliasFano:
         return (places - i) << self.low_bits | self._low(i)
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def by_words(tokenizer: dict) -> bool:
+    """Whether a tokenizer's file is of the kind whose ids of a text are those of its words one after the other."""
+    norm, split, model = tokenizer.get("normalizer") or {}, tokenizer.get("pre_tokenizer") or {}, tokenizer.get("model") or {}
+    steps = [(x.get("type"), (x.get("pattern") or {}).get("Regex")) for x in norm.get("normalizers") or ()]
+    first = (split.get("pretokenizers") or [{}])[0]
+    pattern = (first.get("type"), (first.get("pattern") or {}).get("Regex"), first.get("behavior"), first.get("invert"))
+    return steps == [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)] and pattern == ("Split", PATTERN, "Removed", True) and model.get("end_of_word_suffix") == "</w>"
 
 
 class WordEncoder:
-    """A tokenizer that drops white space, applied once to each distinct word.
+    """A tokenizer, applied once to each distinct word where its kind allows (see ``by_words``), else to whole texts.
 
-    Its pattern never joins symbols across ASCII white space, nor letters or digits with full stops
-    and commas after them, so the ids of a text are those of such pieces one after the other.
+    The pattern never joins symbols across ASCII white space, nor letters or digits with full stops
+    and commas after them, so the ids of a text are those of such pieces one after the other. Words
+    are told apart by their bytes. What is remembered is bounded in bytes and goes with the task.
     """
 
     def __init__(self, path: str):
@@ -110,6 +119,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_words = by_words(json.load(f))
         vocabulary = self.tokenizer.get_vocab()
         self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -117,12 +128,18 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        # known words by 64-bit hash, ascending, and where their ids are
-        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        # hashes of known words, ascending, and their numbers; by number, the word's bytes and ids
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.words, self.word_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.ids_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def held(self) -> int:
+        return sum(x.nbytes for x in (self.hashes, self.numbers, self.words, self.word_at, self.ids, self.ids_at))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts and the number of ids of each."""
+        if not self.by_words:
+            return self._alone([t.decode("utf-8", "replace") for t in texts])
         buf, start, end, first = seqs.split_words(texts)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
@@ -138,38 +155,51 @@ class WordEncoder:
         e[where[cut]] -= 1
         s[where[cut] + 1] = e[where[cut] + 1] - 1
         part_first = np.concatenate((where, [len(s)]))[first]
-        kinds, sample, inverse = np.unique(seqs.Spans(buf).hash(s, e), return_index=True, return_inverse=True)
-        slots = self._slots(kinds, buf, s[sample], e[sample])[inverse]
-        lengths = self.length[slots]
+        kinds, inverse = seqs.distinct_spans(buf, s, e)
+        numbers = self._numbers(kinds)[inverse]
+        lengths = np.diff(self.ids_at)[numbers]
         ends = np.concatenate(([0], np.cumsum(lengths)))
-        return seqs.gather(self.ids, self.start[slots], lengths), np.diff(ends[part_first])
+        return seqs.gather(self.ids, self.ids_at[numbers], lengths), np.diff(ends[part_first])
 
-    def _slots(self, kinds: np.ndarray, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """Where the ids of words (by ascending hash) are; new words are encoded first."""
-        if len(self.hashes) > MEMORY:
+    def _numbers(self, kinds: pa.Array) -> np.ndarray:
+        """The numbers of distinct words; new ones are encoded first."""
+        if self.held() > MEMORY:
             self.forget()
-        at = np.searchsorted(self.hashes, kinds)
-        known = np.zeros(len(kinds), bool)
-        there = at < len(self.hashes)
-        known[there] = self.hashes[at[there]] == kinds[there]
-        new = np.flatnonzero(~known)
+        data, at = seqs.binary_column(kinds)
+        size = np.diff(at)
+        hashes = seqs.span_hashes(data, at[:-1], at[1:])
+        place = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        there = np.flatnonzero(place < len(self.hashes))
+        known[there] = self.hashes[place[there]] == hashes[there]
+        numbers = np.full(len(hashes), -1, np.int64)
+        numbers[known] = self.numbers[place[known]]
+        # an equal hash is not enough: lengths and bytes must be equal too
+        alike = np.flatnonzero(known)
+        alike = alike[size[alike] == np.diff(self.word_at)[numbers[alike]]]
+        same = np.zeros(len(hashes), bool)
+        if len(alike):
+            equal = seqs.gather(data, at[alike], size[alike]) == seqs.gather(self.words, self.word_at[numbers[alike]], size[alike])
+            same[alike] = np.logical_and.reduceat(equal, np.cumsum(size[alike]) - size[alike])
+        new = np.flatnonzero(~same)
         if len(new):
-            raw = buf.tobytes()
-            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)]
+            raw = data.tobytes()
+            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[new].tolist(), at[new + 1].tolist(), strict=True)]
             letters = np.array([w.isalpha() for w in words])
-            slots = np.empty(len(new), np.int64)
-            for own, encode in ((letters, self._together), (~letters, self._alone)):
-                slots[own] = self._remember(*encode([words[i] for i in np.flatnonzero(own)]))
-            self.hashes, self.slots = np.insert(self.hashes, at[new], kinds[new]), np.insert(self.slots, at[new], slots)
-            at = np.searchsorted(self.hashes, kinds)
-        return self.slots[at]
-
-    def _remember(self, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
-        first = len(self.length)
-        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(count) - count))
-        self.length = np.concatenate((self.length, count))
-        self.ids = np.concatenate((self.ids, ids))
-        return np.arange(first, len(self.length))
+            by = np.concatenate((np.flatnonzero(letters), np.flatnonzero(~letters)))
+            new = new[by]
+            found = [self._together([words[i] for i in by[: letters.sum()]]), self._alone([words[i] for i in by[letters.sum() :]])]
+            numbers[new] = len(self.word_at) - 1 + np.arange(len(new))
+            self.words = np.concatenate((self.words, seqs.gather(data, at[new], size[new])))
+            self.word_at = np.concatenate((self.word_at, self.word_at[-1] + np.cumsum(size[new])))
+            self.ids = np.concatenate((self.ids, *(x[0] for x in found)))
+            self.ids_at = np.concatenate((self.ids_at, self.ids_at[-1] + np.cumsum(np.concatenate([x[1] for x in found]))))
+            # of words with one hash the first is remembered
+            fresh = new[~known[new]]
+            fresh = fresh[np.unique(hashes[fresh], return_index=True)[1]]
+            place = np.searchsorted(self.hashes, hashes[fresh])
+            self.hashes, self.numbers = np.insert(self.hashes, place, hashes[fresh]), np.insert(self.numbers, place, numbers[fresh].astype(np.int32))
+        return numbers
 
     def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words one after the other, and how many each has."""
@@ -203,7 +233,7 @@ def block_writer(path: str, end_id: int):
     """Documents in order to blocks."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, block = _encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, block = WordEncoder(path), TaskContext.get().partitionId(), 0
         docs: list[pa.Array] = []
         ids: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -237,9 +267,10 @@ def block_writer(path: str, end_id: int):
 def blocks_of(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Blocks of all documents in ascending order of id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), scan_partitions(docs))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
-    return rows.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).mapInArrow(block_writer(tokenizer, end_id), BLOCKS)
+    # ranges go by a part of the text as well, so rows without an id are spread
+    return rows.repartitionByRange(parts, order[0], F.left("text", F.lit(PREFIX))).sortWithinPartitions(*order).mapInArrow(block_writer(tokenizer, end_id), BLOCKS)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -247,6 +278,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     blocks_of(docs, tokenizer, end_id, id_col, text_col).write.parquet(path)
 
 
+def tokens_of(blocks: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids of some documents: a document's ends are selected, and no other document of its block is decoded."""
+    wanted = set(doc_ids)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ends, ids = EliasFano.from_bytes(r["ends"]), np.frombuffer(r["ids"], f"<u{r['width']}")
+                for i in (i for i, d in enumerate(r["doc_ids"]) if d in wanted):
+                    own = ids[ends.select(i - 1) if i else 0 : ends.select(i)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r["doc_ids"][i]], pa.int64()), pa.array([own.astype(np.int64)], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return blocks.filter(F.arrays_overlap("doc_ids", F.lit(sorted(wanted)))).select("width", "doc_ids", "ends", "ids").mapInArrow(pick, "doc_id long, ids array<long>")
+
+
 def read_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
