@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +12,13 @@ NULL_ORDER = 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    There is no other to fall back on: a local folder is another one on each machine.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lamina-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found
 
 
@@ -25,7 +26,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete a table that ``written`` made, once nothing reads it any more."""
+    path = getattr(table, "written_at", None)
+    if path:
+        spark = table.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def scan_partitions(df: DataFrame) -> int:
@@ -40,22 +52,23 @@ def shard_count(df: DataFrame, per_partition: int = 4) -> int:
 
 
 def keyed_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """All columns, and ``_row_key`` (unique) and ``_row_order`` (the id, null last).
+    """``doc`` (a struct of all columns, so that no name can clash), ``row_key`` (unique) and ``row_order`` (the id, null last).
 
     Ids that are unique and not null are their own keys. Otherwise the rows are written once with
     a generated key, so that a later read sees the same keys even if executors were lost.
     """
     own = F.col(id_col).cast("long")
     clash = docs.select(own.alias("i")).groupBy("i").count().filter((F.col("count") > 1) | F.col("i").isNull())
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
     if clash.isEmpty():
         # the filter drops nothing; joins would add it to one use of these rows and not to another
-        return docs.withColumns({"_row_key": own, "_row_order": own}).filter(own.isNotNull())
-    return written(docs.withColumns({"_row_key": F.monotonically_increasing_id(), "_row_order": F.coalesce(own, F.lit(NULL_ORDER))}), "keyed")
+        return docs.filter(own.isNotNull()).select(doc, own.alias("row_key"), own.alias("row_order"))
+    return written(docs.select(doc, F.monotonically_increasing_id().alias("row_key"), F.coalesce(own, F.lit(NULL_ORDER)).alias("row_order")), "keyed")
 
 
 def slim(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row_key, row_order, doc_id and text of keyed rows."""
-    return rows.select(F.col("_row_key").alias("row_key"), F.col("_row_order").alias("row_order"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.select("row_key", "row_order", F.col(f"doc.`{id_col}`").cast("long").alias("doc_id"), F.col(f"doc.`{text_col}`").cast("string").alias("text"))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,21 +4,28 @@ A document's set is its distinct shingles; documents with the same set are one n
 link when their sets' overlap is at least the threshold's share of their union, so each shares at
 least T = ceil(threshold * its size) shingles with the other.
 
-1. Shingles are ordered by rarity, by a count of hash slots of fixed size, so every task agrees.
+1. Shingles are ordered by rarity, by a count of hash slots, so every task agrees. Slots grow with
+   the input up to ``MOST_SLOTS``; beyond, order among shingles rarer than a slot's share is random.
    A node's ``size - T + 1`` rarest shingles are its short lists: linked nodes meet in one of them.
-2. Lists of one node go. In the others, parity sketches (a bit for each shingle's slot, xor-ed)
-   give a lower bound of two sets' difference; pairs beyond the allowed difference go. A short
-   list's other pairs become searches of a centre among its partners, each pair once; a long list
-   becomes one search group of all its members (in blocks, if it is very long), so no group's
-   pairs are ever written out.
+2. Lists of one node go. In lists of up to ``LONG_LIST`` nodes, parity sketches (a bit for each
+   shingle's slot, xor-ed) give a lower bound of two sets' difference; pairs beyond the allowed
+   difference go, and the others become searches of a centre among its partners, each pair once.
+   A longer list first sends each member to one centre of the list, so that its links are n, not
+   n * n; members that come into one class need no more search against each other. What is left
+   of a long list, members of its largest class and the others, is searched in blocks: others
+   against the class and against each other. Lists with the same largest class are one group.
 3. In a search group, DivideSkip: a query's short inverted lists are merged to counts; candidates
    that reach T less the number of long lists are probed in the long ones by binary search. A
    candidate that is in the query's class already is skipped; just a spanning forest of the links
-   found leaves the task.
+   found leaves the task. Groups are cut to blocks before texts are copied to them.
 4. Links become classes by label propagation with pointer jumping, in written tables.
 
+The two ways of 2 find the same links: LONG_LIST and BLOCK bound what a task holds, not what is found.
+
 Results: one row per document. Null or empty texts have no shingles and link with nothing; a null
-id counts as larger than all others; repeated rows have the same set.
+id counts as larger than all others; repeated rows have the same set; extra columns, of whatever
+names, are kept by ``one_of_each`` and left out of the classes. A task holds a text's shingles, 8
+bytes for each word, while it works on it.
 """
 
 from __future__ import annotations
@@ -30,16 +37,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import seqs
-from lamina.llm.common import NULL_ORDER, keyed, keyed_rows, shard_count, slim, written
+from lamina.llm.common import NULL_ORDER, dropped, keyed, keyed_rows, scan_partitions, shard_count, slim, written
 from lamina.llm.repeats import bounds, by_byte, to_rows
 
 SHINGLE, PERCENT = 4, 85
-#: Bytes handled at once and gathered before sending; slots of the rarity count; members of a list that is searched as a group, and of a block of one.
-PIECE, FLUSH, SLOTS, LONG_LIST, BLOCK = 1 << 20, 24 << 20, 1 << 18, 48, 256
+#: Bytes handled at once and gathered before sending; members of a list whose pairs are compared at once, of a block of a search group, and seats in a bucket of groups.
+PIECE, FLUSH, LONG_LIST, BLOCK, SEATS = 1 << 20, 24 << 20, 48, 128, 2048
+#: Slots of the rarity count at least and at most, partitions of the input for the least, slots sent together, and tasks summed together.
+SLOTS, MOST_SLOTS, SLOT_PARTS, SLICE, TASKS = 1 << 18, 1 << 22, 32, 1 << 14, 256
 #: DivideSkip's weight of long lists (a fixed value of the published method).
 MU = 0.0085
 _UPPER = bytes(range(65, 91))
@@ -91,48 +101,61 @@ def narrowed(sketches: np.ndarray, width: int) -> np.ndarray:
     return sketches
 
 
-DESCRIBED = "row_key long, row_order long, doc_id long, n_shingles long, node long, sketch binary, slots array<int>"
+DESCRIBED = "row_key long, row_order long, doc_id long, n_shingles long, node long, sketch binary, slots binary"
+
+
+def slot_count(partitions: int) -> int:
+    return min(MOST_SLOTS, SLOTS << max(0, -(-partitions // SLOT_PARTS) - 1).bit_length())
 
 
-def describer(k: int):
+def describer(k: int, slots: int):
     """Documents to their size, node and sketch; last, each task's counts of slots, in slices."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
+        counts = np.zeros(slots, np.int64)
         names = [x.split()[0] for x in DESCRIBED.split(", ")]
         for batch in batches:
             data, offsets = seqs.utf8_column(batch.column(3))
             size, node, sketch = [], [], []
             for i, j in seqs.slices(offsets, PIECE):
                 sets = shingle_sets([data[offsets[r] : offsets[r + 1]].tobytes() for r in range(i, j)], k)
-                counts += np.bincount((np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                np.add.at(counts, (np.concatenate(sets) & np.uint64(slots - 1)).astype(np.int64), 1)
                 size += [len(s) for s in sets]
                 node += [signature(s) if len(s) else None for s in sets]
                 sketch += [parity(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), pa.nulls(len(batch), pa.list_(pa.int32()))], names)
-        counts = np.minimum(counts, 2**31 - 1).astype(np.int32).reshape(16, -1)
-        n = len(counts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), pa.nulls(len(batch), pa.binary())], names)
+        n, task = slots // SLICE, TaskContext.get().partitionId()
         nulls = pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), nulls, nulls, nulls, nulls, pa.nulls(n, pa.binary()), pa.array(list(counts), pa.list_(pa.int32()))], names)
+        bodies = [zstandard.compress(by_byte(x), 1) for x in counts.reshape(n, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), nulls, pa.array([task // TASKS] * n, pa.int64()), nulls, nulls, pa.nulls(n, pa.binary()), pa.array(bodies, pa.binary())], names)
 
     return describe
 
 
-def rarity(described: DataFrame) -> np.ndarray:
-    """Counts of slots over all documents: a table of fixed size."""
+def rarity(described: DataFrame, slots: int) -> np.ndarray:
+    """Counts of slots over all documents: a table of bounded size, summed by tasks and then by groups of them."""
 
-    def add(table: pa.Table) -> pa.Table:
-        rows = np.stack([np.asarray(x.values) for x in table.column("slots")])
-        total = np.minimum(rows.sum(0, dtype=np.int64), 2**31 - 1).astype(np.int32)
-        return pa.Table.from_arrays([table.column("row_key")[:1].combine_chunks(), pa.array([total], pa.list_(pa.int32()))], ["row_key", "slots"])
+    def counted(body: bytes) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(zstandard.decompress(body), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
-    slices = described.filter("row_order is null").groupBy("row_key").applyInArrow(add, "row_key long, slots array<int>").collect()
-    return np.concatenate([np.array(r.slots, np.int32) for r in sorted(slices)]) if slices else np.zeros(SLOTS, np.int32)
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(SLICE, np.int64)
+        for body in table.column("slots"):
+            total += counted(body.as_py())
+        return pa.Table.from_arrays([table.column("row_key")[:1].combine_chunks(), pa.array([zstandard.compress(by_byte(total), 1)], pa.binary())], ["row_key", "slots"])
+
+    slices = described.filter("row_order is null and slots is not null").select("row_key", "doc_id", "slots")
+    for keys in (["row_key", "doc_id"], ["row_key"]):
+        slices = slices.groupBy(*keys).applyInArrow(add, "row_key long, slots binary")
+    out = np.zeros(slots, np.int64)
+    for r in slices.collect():
+        out[r.row_key * SLICE : (r.row_key + 1) * SLICE] = counted(r.slots)
+    return out
 
 
 def rarest(own: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     """The short lists of a set."""
-    order = np.lexsort((own, counts[(own & np.uint64(SLOTS - 1)).astype(np.int64)]))
+    order = np.lexsort((own, counts[(own & np.uint64(len(counts) - 1)).astype(np.int64)]))
     return own[order[: len(own) - need(len(own), percent) + 1]]
 
 
@@ -175,7 +198,7 @@ def list_sender(shards: int, k: int, percent: int, counts):
 
 
 def list_members(percent: int):
-    """A shard's entries to the members of lists that a pair of fitting sizes is in."""
+    """A shard's entries to the members of lists that a pair of fitting sizes is in, with their number and a centre (of middle size)."""
 
     def members(table: pa.Table) -> pa.Table:
         lots = []
@@ -198,13 +221,17 @@ def list_members(percent: int):
         fits = (rest[1:] == rest[:-1]) & (size[:-1] * 100 >= size[1:] * percent)
         keep = np.concatenate((fits, [False])) | np.concatenate(([False], fits))
         shard = np.int64(table.column("shard")[0].as_py())
-        return pa.Table.from_arrays([pa.array(shard << 32 | rest[keep].astype(np.int64)), pa.array(node[keep])], ["list", "node"])
+        rest, node = rest[keep], node[keep]
+        cuts = bounds(rest) if len(rest) else np.zeros(1, np.int64)
+        length = np.diff(cuts)
+        centre = np.repeat(node[cuts[:-1] + length // 2], length)
+        return pa.Table.from_arrays([pa.array(shard << 32 | rest.astype(np.int64)), pa.array(node), pa.array(np.repeat(length, length)), pa.array(centre)], ["list", "node", "n", "centre"])
 
     return members
 
 
 def meetings(percent: int):
-    """Lists with their members' sizes and sketches to pairs (a centre and a partner) or, of long lists, their members."""
+    """Lists with their members' sizes and sketches to pairs, a centre and a partner."""
 
     def folded(rows: list[np.ndarray], width: int) -> np.ndarray:
         out = np.zeros((len(rows), width), np.uint8)
@@ -219,13 +246,9 @@ def meetings(percent: int):
         lists, node, size = (table.column(c).to_numpy() for c in ("list", "node", "n_shingles"))
         by = np.lexsort((node, size, lists))
         lists, node, size = lists[by], node[by], size[by]
-        cuts = bounds(lists)
-        length = np.repeat(np.diff(cuts), np.diff(cuts))
-        short = np.flatnonzero(length <= LONG_LIST)
         left, right = [], []
         for d in range(1, LONG_LIST):
-            i = short[:-d]
-            i = i[(short[d:] == i + d) & (lists[i] == lists[np.minimum(i + d, len(lists) - 1)])] if len(i) else i
+            i = np.flatnonzero(lists[d:] == lists[:-d])
             if not len(i):
                 break
             i = i[size[i] * 100 >= size[i + d] * percent]
@@ -247,10 +270,7 @@ def meetings(percent: int):
                     # |A - B| + |B - A| <= (1 - t) / (1 + t) * (|A| + |B|)
                     ok[at] = gap * (100 + percent) <= (100 - percent) * (size[x[at]] + size[y[at]])
             pairs = np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1)[ok]
-        long = length > LONG_LIST
-        group = np.concatenate((pairs[:, 0], lists[long]))
-        is_list = np.concatenate((np.zeros(len(pairs), bool), np.ones(int(long.sum()), bool)))
-        return pa.Table.from_arrays([pa.array(group), pa.array(np.concatenate((pairs[:, 1], node[long]))), pa.array(is_list)], ["group", "node", "is_list"])
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["centre", "node"])
 
     return meet
 
@@ -335,16 +355,9 @@ def searcher(k: int, percent: int):
         cuts = bounds(group[by])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             at = by[a:b]
-            if part[at[-1]] < 0:  # a centre (last by part) among its partners
-                center = [int(x) for x in node[at] if x == group[at[0]]]
-                others = [int(x) for x in node[at] if x != group[at[0]]]
-                if not center or not others:
-                    continue
-                members, queries = others + center, [len(others)]
-            else:
-                members = node[at].tolist()
-                split = int(np.searchsorted(part[at], 1))  # part 0 is searched by part 1, and each by itself if it is alone
-                queries = range(len(members)) if split in (0, len(members)) else range(split, len(members))
+            members = node[at].tolist()
+            split = int(np.searchsorted(part[at], 1))  # part 0 is searched by part 1, and each by itself if it is alone
+            queries = range(len(members)) if split in (0, len(members)) else range(split, len(members))
             links += [(members[i], members[j]) for i, j in divide_skip([sets[m] for m in members], queries, percent)]
         a, b = zip(*links, strict=True) if links else ((), ())
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -356,7 +369,7 @@ def classes_of(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node: the smallest node of its class.
 
     Labels spread along links and jump to their label's label until none changes; each round is a
-    written table, and only its number of changes comes to the driver.
+    written table, the one before it is deleted, and only its number of changes comes to the driver.
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels")
@@ -366,27 +379,47 @@ def classes_of(links: DataFrame) -> DataFrame:
         spread = written(spread, "labels")
         jump = spread.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         moved = written(spread.join(jump, spread["root"] == jump["_n"]).select("node", F.least("root", "_r").alias("root"), (F.least("root", "_r") != F.col("old")).alias("moved")), "labels")
-        labels = moved.select("node", "root")
+        dropped(labels)
+        dropped(spread)
         if moved.filter("moved").isEmpty():
-            return labels
+            dropped(both)
+            return moved.select("node", "root")
+        labels = moved.select("node", "root")
+        labels.written_at = moved.written_at
+
+
+def _star_seats(stars: DataFrame) -> DataFrame:
+    """(group, node, part) of centres and partners, in blocks of partners with the centre in each."""
+    blocks = stars.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("n")).withColumnRenamed("centre", "_c")
+    placed = stars.join(blocks, F.col("centre") == F.col("_c")).withColumn("group", F.xxhash64("centre", F.pmod(F.xxhash64("node"), F.col("n"))))
+    centres = placed.select("group", F.col("centre").alias("node"), F.lit(1).alias("part")).distinct()
+    return placed.select("group", "node", F.lit(0).alias("part")).union(centres)
 
 
-def _long_seats(lists: DataFrame) -> DataFrame:
-    """(group, node, part) of long lists: those with common members together, in blocks that meet each other in pairs.
+def _long_seats(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(group, node, part) of what is left to search in long lists: others against the largest class, and against each other.
 
-    Block i meets block j in a group of their own, as part 0 and part 1; a block by itself is part 0.
+    lists: list, node; roots: node, root of the classes so far. A list within one class is done.
+    Blocks of the class are part 0 and blocks of the others part 1; of two blocks of others, the
+    second is part 1, and one by itself is part 0.
     """
-    if lists.isEmpty():
-        return lists.select("group", "node", F.lit(0).alias("part"))
-    # the sign bit keeps the numbers of lists (without it) apart from those of nodes in one graph
-    graph = lists.select((F.col("group") * 2).alias("a"), (F.shiftleft(F.shiftrightunsigned("node", 1), 1) + 1).alias("b"))
-    roots = classes_of(graph).withColumnRenamed("node", "_list")
-    placed = lists.join(roots, F.col("group") * 2 == F.col("_list")).select(F.col("root").alias("group"), "node").distinct()
-    blocks = placed.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).withColumnRenamed("group", "_g")
-    placed = placed.join(blocks, F.col("group") == F.col("_g")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), (F.col("block") > o).cast("int").alias("part")))
-    placed = placed.select("group", "node", F.explode(pair).alias("p"))
-    return placed.select(F.xxhash64("group", "p.i", "p.j").alias("group"), "node", F.col("p.part").alias("part"))
+    roots = roots.select(F.col("node").alias("_node"), "root")
+    own = lists.join(roots, F.col("node") == F.col("_node"), "left").select("list", "node", F.coalesce("root", "node").alias("root"))
+    largest = own.groupBy("list", "root").count().groupBy("list").agg(F.max_by("root", F.struct("count", "root")).alias("base"), F.count("*").alias("classes"))
+    largest = largest.filter("classes > 1").select(F.col("list").alias("_list"), "base")
+    placed = own.join(largest, F.col("list") == F.col("_list")).select("base", "node", (F.col("root") != F.col("base")).alias("other")).distinct()
+    number = lambda of: F.ceil(F.greatest(F.count_if(of), F.lit(1)) / BLOCK).cast("int")
+    sizes = placed.groupBy("base").agg(number(~F.col("other")).alias("n_base"), number(F.col("other")).alias("n_other")).withColumnRenamed("base", "_b")
+    placed = placed.join(sizes, F.col("base") == F.col("_b"))
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("other"), F.col("n_other")).otherwise(F.col("n_base"))).cast("int")
+    placed = placed.withColumn("block", block)
+    seat = lambda kind, i, j, part: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), part.alias("part"))
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    base = F.transform(each("n_other"), lambda o: seat(0, F.col("block"), o, F.lit(0)))
+    against = F.transform(each("n_base"), lambda c: seat(0, c, F.col("block"), F.lit(1)))
+    mutual = F.transform(each("n_other"), lambda o: seat(1, F.least("block", o), F.greatest("block", o), (F.col("block") > o).cast("int")))
+    placed = placed.select("base", "node", F.explode(F.when(F.col("other"), F.concat(against, mutual)).otherwise(base)).alias("s"))
+    return placed.select(F.xxhash64("base", "s.kind", "s.i", "s.j").alias("group"), "node", F.col("s.part").alias("part"))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -396,25 +429,34 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, s
 
 def _near(rows: DataFrame, k: int, percent: int, shards: int) -> DataFrame:
     """near_duplicates of keyed rows."""
-    spark = rows.sparkSession
-    described = written(rows.select("row_key", "row_order", "doc_id", "text").mapInArrow(describer(k), DESCRIBED), "sets")
-    counts = spark.sparkContext.broadcast(rarity(described))
+    spark, slots = rows.sparkSession, slot_count(scan_partitions(rows))
+    described = written(rows.select("row_key", "row_order", "doc_id", "text").mapInArrow(describer(k, slots), DESCRIBED), "sets")
+    counts = spark.sparkContext.broadcast(rarity(described, slots))
     own = described.filter("row_order is not null")
     nodes = own.filter("node is not null").groupBy("node").agg(F.min("row_order").alias("least"), F.min_by("row_key", F.struct("row_order", "row_key")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
     entries = rows.select("text").mapInArrow(list_sender(shards, k, percent, counts), "shard int, settled boolean, body binary")
-    members = entries.groupBy("shard").applyInArrow(list_members(percent), "list long, node long")
-    met = members.join(nodes.select("node", "n_shingles", "sketch"), "node").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(shards)).cast("int"))
-    groups = written(met.groupBy("bucket").applyInArrow(meetings(percent), "group long, node long, is_list boolean").distinct(), "groups")
-    # a centre searches among its partners; blocks of a list search themselves and each other
-    stars = groups.filter("not is_list").select("group", "node")
-    stars = stars.union(stars.select("group", F.col("group").alias("node")).distinct()).withColumn("part", F.lit(-1))
-    seats = stars.unionByName(_long_seats(groups.filter("is_list").select("group", "node")))
-    wanted = seats.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    packed = wanted.join(rows.select("row_key", "text"), F.col("rep") == F.col("row_key")).select("node", "text").mapInArrow(_pack, "node long, body binary")
-    seated = seats.join(packed, "node").withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(shards)).cast("int"))
-    links = seated.groupBy("bucket").applyInArrow(searcher(k, percent), "a long, b long")
-    roots = classes_of(written(links, "links"))
+    members = written(entries.groupBy("shard").applyInArrow(list_members(percent), "list long, node long, n long, centre long"), "lists")
+    short = members.filter(F.col("n") <= LONG_LIST).select("list", "node").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    short = short.withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(shards)).cast("int"))
+    stars = short.groupBy("bucket").applyInArrow(meetings(percent), "centre long, node long")
+    long = members.filter(F.col("n") > LONG_LIST)
+    stars = written(stars.union(long.filter("node <> centre").select(F.least("centre", "node"), F.greatest("centre", "node"))).distinct(), "stars")
+
+    def searched(seats: DataFrame) -> DataFrame:
+        """Links of search groups, whose nodes get their texts."""
+        seats = written(seats, "seats")
+        buckets = max(shards, seats.count() // SEATS)
+        wanted = seats.select("node").distinct().join(nodes.select("node", "rep"), "node")
+        packed = wanted.join(rows.select("row_key", "text"), F.col("rep") == F.col("row_key")).select("node", "text").mapInArrow(_pack, "node long, body binary")
+        seated = seats.join(packed, "node").withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("int"))
+        return written(seated.groupBy("bucket").applyInArrow(searcher(k, percent), "a long, b long"), "links")
+
+    links = searched(_star_seats(stars))
+    roots = classes_of(links)
+    if not long.isEmpty():
+        links = links.union(searched(_long_seats(long.select("list", "node"), roots)))
+        roots = classes_of(links)
     owned = nodes.select("node", "least").join(roots, "node")
     smallest = owned.groupBy("root").agg(F.min("least").alias("component"))
     component = owned.join(smallest, "root").select("node", F.col("root").alias("class_id"), "component")
@@ -441,4 +483,4 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     found = _near(slim(rows), k, percent, shard_count(docs))
     first = found.filter("class_id is not null").groupBy("class_id").agg(F.min(F.struct("row_order", "row_key")).alias("m"))
     kept = first.select(F.col("m.row_key").alias("_kept")).union(found.filter("class_id is null").select("row_key"))
-    return rows.join(kept, F.col("_row_key") == F.col("_kept"), "left_semi").select(*docs.columns)
+    return rows.join(kept, F.col("row_key") == F.col("_kept"), "left_semi").select("doc.*")

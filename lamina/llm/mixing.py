@@ -5,12 +5,19 @@ nearest to 1 in relative entropy tilts each document by ``exp(dual of its catego
 groupings. The convex dual is solved by Newton steps: categories of one grouping are disjoint, so
 their block of the Hessian is a diagonal and a step is one aggregation and one join, for any
 number of categories; with several groupings the blocks take turns. Documents are first summed by
-cells of equal categories, which is all the dual needs.
+cells of equal categories, which is all the dual needs. Steps that do not come to the targets
+raise an error.
 
 Rates become copies by bounded error: within buckets of a source, dealt by hash, documents go from
-large to small and get one more copy when the words still owed reach half their size.
+large to small and get one more copy when the words still owed reach half their size. Rows with
+equal id, text and source are one entry with their number; its copies are shared out among them.
 
-A null text has size 0 and is taken 0 times; a null source is a source of its own, last in order.
+Sources may be many (a source may be a domain): they are ranked by range-partitioned counts, their
+levels come from one aggregation a round, and their facts are broadcast just if they are few.
+
+Results: one row per document. A null text has size 0 and is taken 0 times; a null source is a
+source of its own, last in order; an empty table gives an empty one; ties are dealt by hash, so
+reruns agree; extra columns, of whatever names, are kept by ``mix`` and left out of the plan.
 """
 
 from __future__ import annotations
@@ -21,10 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lamina.llm.common import written
+from lamina.llm.common import dropped, written
 
 #: Copies of a document at most, documents in a bucket, Newton steps at most, and the relative error to stop at.
-MOST_COPIES, BUCKET, STEPS, TOLERANCE = 3, 4096, 40, 1e-9
+MOST_COPIES, BUCKET, STEPS, TOLERANCE = 3, 4096, 200, 1e-9
+#: Sources whose facts are broadcast at most, shares of a source's rows in a join beyond that, and rows made at once of repeated ones.
+FEW, SALTS, CHUNK = 20_000, 64, 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -32,24 +41,37 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """Adds ``place``, a source's number in order of code points (null last), from 0: by ranges, and the counts of ranges."""
+    ranges = sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id())
+    ranges = written(ranges, "ranges")
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    # a row for each range
+    counts = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = F.row_number().over(W.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1
+    return ranges.withColumn("within", within).join(F.broadcast(counts), "range").withColumn("place", F.col("first") + F.col("within")).drop("range", "within", "first")
+
+
 def share_targets(sources: DataFrame, weight: Column, cap: float = MOST_COPIES) -> DataFrame:
-    """source, source_size to target: all mass shared by weight, no source above cap times its size, the excess shared again.
+    """Adds ``target`` to source, source_size: all mass shared by weight, no source above cap times its size, the excess shared again.
 
-    Sources in order of cap * size / weight are capped one after the other until the share of the
-    rest reaches none of them.
+    In each round the level of the sources not yet capped rises by what the capped ones leave over;
+    a round is one aggregation, and they end when no further source is above.
     """
     s = sources.withColumn("weight", weight).withColumn("room", F.lit(float(cap)) * F.col("source_size"))
-    order = W.orderBy(F.col("room") / F.col("weight"), F.col("source").asc_nulls_last())
-    s = s.withColumn("before", F.coalesce(F.sum("room").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-    s = s.withColumn("rest", F.sum("weight").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)))
-    s = s.withColumn("total", F.sum("source_size").over(W.partitionBy(F.lit(0))))
-    s = s.withColumn("level", (F.col("total") - F.col("before")) / F.col("rest")).withColumn("capped", F.col("room") < F.col("level") * F.col("weight"))
-    # the first source not capped has the level of all the rest; those after it would come out lower
-    level = F.coalesce(F.max(F.when(~F.col("capped"), F.col("level"))).over(W.partitionBy(F.lit(0))), F.lit(0.0))
-    return s.withColumn("share", level * F.col("weight")).select("source", "source_size", F.when(F.col("capped"), F.col("room")).otherwise(F.col("share")).alias("target"))
+    total, level, capped = s.agg(F.sum("source_size")).first()[0], 0.0, -1
+    while total:
+        above = F.col("room") < F.lit(level) * F.col("weight")
+        free = F.when(above, 0.0)
+        found = s.agg(F.count_if(above).alias("n"), F.sum(F.when(above, F.col("room")).otherwise(0.0)).alias("room"), F.sum(free.otherwise(F.col("weight"))).alias("weight")).first()
+        if found["n"] == capped or not found["weight"]:
+            break
+        capped, level = found["n"], (total - found["room"]) / found["weight"]
+    share = F.lit(level) * F.col("weight")
+    return s.withColumn("target", F.when(F.col("room") < share, F.col("room")).otherwise(share)).drop("weight", "room")
 
 
-def entropy_balance(cells: DataFrame, targets: dict[str, DataFrame], mass: str = "mass", cap: float = MOST_COPIES) -> DataFrame:
+def entropy_balance(cells: DataFrame, targets: dict[str, DataFrame], mass: str = "mass", cap: float = MOST_COPIES, steps: int = STEPS) -> DataFrame:
     """Cells (category columns and a mass) with the rate that meets every target.
 
     targets: by grouping, a table of its category column and ``target``. Rates stay at most cap.
@@ -65,7 +87,8 @@ def entropy_balance(cells: DataFrame, targets: dict[str, DataFrame], mass: str =
         tilt = sum((F.coalesce(F.col(f"_dual_{g}"), F.lit(0.0)) for g in groupings), F.lit(0.0))
         return out.withColumn("rate", F.least(F.exp(F.least(tilt, F.lit(60.0))), F.lit(float(cap)))).drop(*(f"_dual_{g}" for g in groupings))
 
-    for step in range(STEPS):
+    off = 0.0
+    for _ in range(steps):
         off = 0.0
         for g in groupings:
             taken = F.col("rate") * F.col(mass)
@@ -77,61 +100,104 @@ def entropy_balance(cells: DataFrame, targets: dict[str, DataFrame], mass: str =
             moved = duals[g].join(sums, F.col(g).eqNullSafe(F.col("_key")), "left")
             new = written(moved.select(g, "target", (F.col("dual") + move).alias("dual"), F.when(F.col("value") > 0, F.abs(gap) / F.greatest("target", F.lit(1.0))).otherwise(0.0).alias("gap")), "duals")
             off = max(off, new.agg(F.max("gap")).first()[0] or 0.0)
-            duals[g] = new.drop("gap")
+            dropped(duals[g])
+            duals[g] = new
         if off < TOLERANCE:
-            break
-    return rated()
+            return rated()
+    raise ArithmeticError(f"after {steps} Newton steps a target is still off by a share of {off:.3g}; the targets may contradict each other")
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, few: int = FEW) -> DataFrame:
+    """Rows with their source's facts: few facts are broadcast, more are repeated for each share of a source's rows."""
+    facts = facts.withColumnRenamed("source", "_source")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if facts.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(facts), same, "left").drop("_source")
+    facts = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_share", salt).join(facts, same & (F.col("_share") == F.col("_salt")), "left").drop("_source", "_share", "_salt")
 
 
-def rounded(docs: DataFrame, size: str = "size", rate: str = "rate", group: str = "source", by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Adds ``copies``, whole numbers of at most the cap: the words taken of a group come near rate times size."""
-    spread = F.xxhash64(*by, size)
-    dealt = docs.withColumn("_spread", spread)
-    counts = docs.groupBy(group).agg(F.count("*").alias("_n")).withColumnRenamed(group, "_group")
-    dealt = dealt.join(counts, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
-    dealt = dealt.withColumn("_bucket", F.pmod(F.xxhash64("_spread"), F.ceil(F.col("_n") / BUCKET))).drop("_n")
+def rounded(entries: DataFrame) -> DataFrame:
+    """Adds ``copies``, of all an entry's rows together: the words taken of a source come near rate times size.
 
-    columns = [*docs.columns, "copies"]
+    entries: doc_id, text_hash, source, size, rows (how many an entry stands for), entries (of its source), rate.
+    """
+    spread = F.xxhash64("doc_id", "text_hash", "size")
+    dealt = entries.withColumn("spread", spread).withColumn("bucket", F.pmod(F.xxhash64("spread"), F.ceil(F.col("entries") / BUCKET)))
+    columns = [*entries.columns, "copies"]
 
     def copy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([size, "_spread", *by], ascending=[False, True, *[True] * len(by)], kind="stable")
-        rates, sizes = pdf[rate].to_numpy(float), pdf[size].to_numpy(float)
-        whole = np.floor(rates + 1e-9)
-        extra, owed = np.zeros(len(pdf)), 0.0
-        for i, (part, n) in enumerate(zip((rates - whole).clip(0).tolist(), sizes.tolist(), strict=True)):
-            owed += part * n
-            if n and part and owed >= n / 2:
-                extra[i] = 1
-                owed -= n
-        return pdf.assign(copies=np.minimum(whole + extra, MOST_COPIES).astype("int64"))[columns]
+        pdf = pdf.sort_values(["size", "spread", "doc_id", "text_hash"], ascending=[False, True, True, True], kind="stable")
+        rates, n = pdf["rate"].to_numpy(float), pdf["rows"].to_numpy(np.int64)
+        whole = np.minimum(np.floor(rates + 1e-9).astype(np.int64), MOST_COPIES)
+        extra, owed = np.zeros(len(pdf), np.int64), 0.0
+        for i, (part, size, m) in enumerate(zip((rates - whole).clip(0).tolist(), pdf["size"].tolist(), n.tolist(), strict=True)):
+            owed += part * size * m
+            if size and part and whole[i] < MOST_COPIES:
+                extra[i] = min(max(int(owed / size + 0.5), 0), m)
+                owed -= int(extra[i]) * size
+        return pdf.assign(copies=whole * n + extra)[columns]
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", copies long"
-    return dealt.groupBy(group, "_bucket").applyInPandas(copy, schema)
+    schema = ", ".join(f"`{n}` {t}" for n, t in entries.dtypes) + ", copies long"
+    return dealt.groupBy("source", "bucket").applyInPandas(copy, schema)
 
 
-def mix_plan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, source, size, source_size, target, rate, copies of every document.
+def mix_entries(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, source, size, rows, source_size, entries, target, rate, copies: an entry for rows with equal id, text and source.
 
     Sources in order of code points weigh 1, 2, 3, 1, 2, 3 and so on, a null source last.
     """
-    slim = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "source", word_count(F.col("text")).alias("size")), "sizes")
-    sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    weight = ((F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1).cast("double")
-    targets = written(share_targets(sources, weight), "targets")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    slim = written(slim.groupBy("doc_id", "text_hash", "source", "size").agg(F.count("*").alias("rows")), "sizes")
+    sources = slim.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("entries"))
+    weight = (F.col("place") % 3 + 1).cast("double")
+    placed = written(ranked(sources), "places")
+    targets = written(share_targets(placed, weight).drop("place"), "targets")
     cells = targets.select("source", F.col("source_size").cast("double").alias("mass"))
     rates = entropy_balance(cells, {"source": targets}).select(F.col("source").alias("_source"), "rate")
-    facts = targets.join(rates, F.col("source").eqNullSafe(F.col("_source"))).select("_source", "source_size", "target", "rate")
-    rated = slim.join(facts, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    return rounded(rated, by=("doc_id", "text_hash"))
+    facts = written(targets.join(rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), "facts")
+    return rounded(with_facts(slim, facts))
+
+
+def _share(nth: Column, copies: Column, rows: Column) -> Column:
+    """Copies of the nth row (from 0) of an entry."""
+    return F.floor(copies / rows) + F.when(nth < copies % rows, 1).otherwise(0)
+
+
+def mix_plan(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, source, size, source_size, target, rate, copies of every document."""
+    plan = mix_entries(docs)
+    # a row for each repeated one, made in chunks that are dealt out
+    chunks = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / CHUNK))))
+    if not plan.filter(F.col("rows") > CHUNK).isEmpty():
+        chunks = chunks.repartition()
+    first = F.col("chunk") * CHUNK
+    each = chunks.withColumn("nth", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("rows")) - 1)))
+    return each.select("doc_id", "text_hash", "source", "size", "source_size", "target", "rate", _share(F.col("nth"), F.col("copies"), F.col("rows")).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as its copies, with the columns it had."""
-    plan = mix_plan(docs).filter("copies > 0").groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_copies", "_rows")
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    joined = rows.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
-    # repeated rows share their copies: the first of them take what is left over
-    nth = F.when(F.col("_rows") > 1, F.row_number().over(W.partitionBy("_id", "_hash").orderBy("source"))).otherwise(1)
-    own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(nth <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    return joined.withColumn("_own", own.cast("int")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("_own", F.lit(1))))).filter("_own > 0").select(*docs.columns)
+    plan = written(mix_entries(docs).filter("copies > 0").select("doc_id", "text_hash", F.col("source").alias("of"), "rows", "copies"), "plan")
+    # the user's columns stand in one of their own, so no name can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.col("source").cast("string").alias("from"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")) & F.col("from").eqNullSafe(F.col("of"))
+    once = rows.join(plan.filter("rows = 1"), same).select("doc", "copies")
+    repeated = plan.filter("rows > 1")
+    if not repeated.isEmpty():
+        # rows of an entry are numbered within parts of a written table, so that none is numbered in one task
+        several = rows.join(repeated, same).select("doc", "doc_id", "text_hash", "of", "rows", "copies").withColumn("part", F.spark_partition_id())
+        several = written(several, "repeated")
+        key = ["doc_id", "text_hash", "of"]
+        sizes = several.groupBy(*key, "part").agg(F.count("*").alias("n"))
+        first = F.coalesce(F.sum("n").over(W.partitionBy(*key).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        sizes = sizes.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("part").alias("_part"), first.alias("first"))
+        numbered = several.withColumn("within", F.row_number().over(W.partitionBy("part", *key).orderBy(F.lit(0))) - 1)
+        equal = F.col("part") == F.col("_part")
+        for k in key:
+            equal = equal & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        own = _share(F.col("first") + F.col("within"), F.col("copies"), F.col("rows"))
+        once = once.unionByName(numbered.join(sizes, equal).select("doc", own.cast("long").alias("copies")))
+    taken = once.filter("copies > 0").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select("doc.*")
