@@ -6,12 +6,17 @@ budget of ``RATE * n`` edits. Cut into one piece more than the budget, any such
 piece unchanged. All pieces are searched at once (Aho-Corasick); around each hit, the item's best
 match with free ends is measured by Myers' bit-parallel edit distance.
 
-The benchmark is searched in blocks of bounded size, each of which is one pass; the driver holds all
-blocks while it builds the passes, so its memory bounds the benchmark. An item without an id is an
-item like others, with a null item_id in the result.
-Items of fewer than ``MIN_BYTES`` bytes say too little and are left out; the budget is lowered so
-that no piece has fewer than ``MIN_PIECE``. Null or empty texts hold nothing; repeated items count
-once for each id.
+The budget is lowered so that no piece has fewer than ``MIN_PIECE`` bytes, and is returned. An item
+of fewer than ``MIN_BYTES`` bytes may differ by nothing: it is searched as whole words.
+
+The benchmark is searched in blocks of bounded size, each of which is one pass over the documents;
+the driver holds one block at a time, which it broadcasts. An item without an id is an item like
+others, with a null item_id in the result.
+
+Results: one row per document and item it holds. Null or empty texts, and items without a word,
+hold nothing and are held by nothing; repeated items count once for each id, repeated documents
+each for itself; a text of any length is searched whole. ``clean_documents`` keeps extra columns of
+whatever names; ``contaminations`` leaves them out.
 """
 
 from __future__ import annotations
@@ -21,10 +26,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import seqs
+from lamina.llm.common import dropped, written
 
 #: Edits for each byte of an item, least bytes of a piece and of an item, bytes of a benchmark block.
 RATE, MIN_PIECE, MIN_BYTES, BLOCK_BYTES = 0.08, 12, 30, 8_000_000
@@ -85,25 +92,32 @@ class Matcher:
     """Items to search for in many texts."""
 
     def __init__(self, items: list[tuple[int | None, bytes]]):
-        import ahocorasick
+        import ahocorasick  # the driver does not need it
 
         self.items, self.myers = [x[1] for x in items], {}
         self.ids = [x[0] for x in items]
         found: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for i, item in enumerate(self.items):
-            for place, piece in pieces(item):
-                found[piece].append((i, place))
+            if len(item) < MIN_BYTES:
+                found[b" %b " % item].append((i, -1))
+            else:
+                for place, piece in pieces(item):
+                    found[piece].append((i, place))
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
             self.automaton.add_word(piece.decode("latin-1"), (len(piece), where))
         self.automaton.make_automaton()
 
     def matches(self, text: bytes) -> dict[int, tuple[int, int]]:
-        """By number of item: distance and end in the text of its best match, if within budget."""
+        """By number of item: distance and end of its best match, if within budget; ends count from a space before the text."""
         tried: dict[int, list[int]] = defaultdict(list)
         out: dict[int, tuple[int, int]] = {}
+        text = b" %b " % text
         for end, (size, where) in self.automaton.iter(text.decode("latin-1")):
             for i, place in where:
+                if place < 0:
+                    out.setdefault(i, (0, end))
+                    continue
                 start = end + 1 - size - place
                 if out.get(i, (1,))[0] == 0 or any(abs(start - s) <= 1 for s in tried[i]):
                     continue
@@ -122,17 +136,20 @@ class Matcher:
         return out
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int | None, bytes]]]:
-    """The normal texts of items in blocks of bounded bytes, each of which a task can hold."""
+def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[DataFrame]:
+    """Items (i, t in lower case) in blocks of bounded bytes, each of which a task can hold."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("t"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = 1 + 2 * size // BLOCK_BYTES
-    blocks = []
-    for b in range(n):
-        own = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()
-        items = sorted({(r.i, normal(r.t.encode())) for r in own}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        blocks.append([x for x in items if len(x[1]) >= MIN_BYTES])
-    return [b for b in blocks if b]
+    return [rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) for b in range(n)]
+
+
+def _passes(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The normal texts of each block's items, sent to the executors; empty blocks are left out."""
+    for block in benchmark_blocks(benchmark):
+        items = sorted({(r.i, normal(r.t.encode())) for r in block.toLocalIterator()}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        if items := [x for x in items if x[1]]:
+            yield benchmark.sparkSession.sparkContext.broadcast(items)
 
 
 def _lowered(column: pa.Array):
@@ -140,38 +157,39 @@ def _lowered(column: pa.Array):
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, distance, n_bytes (of the item's normal text) of each document and item it holds."""
+    """doc_id, item_id, distance, n_bytes (of the item's normal text), budget of each document and item it holds."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, item_id long, distance long, n_bytes long"
+    schema = "doc_id long, item_id long, distance long, n_bytes long, budget long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in benchmark_blocks(benchmark):
-        out = out.unionByName(rows.mapInArrow(_finder(block), schema))
+    for items in _passes(benchmark):
+        out = out.unionByName(rows.mapInArrow(_finder(items), schema))
     return out
 
 
-def _finder(block: list[tuple[int | None, bytes]]):
+def _finder(items: Broadcast):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(block)
+        matcher = Matcher(items.value)
         for batch in batches:
             data, offsets = _lowered(batch.column(1))
             ids = batch.column(0).to_pylist()
             found = []
             for r in range(len(batch)):
                 for i, (distance, _) in matcher.matches(normal(data[offsets[r] : offsets[r + 1]].tobytes())).items():
-                    found.append((ids[r], matcher.ids[i], distance, len(matcher.items[i])))
-            columns = list(zip(*found, strict=True)) if found else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "distance", "n_bytes"])
+                    size = len(matcher.items[i])
+                    found.append((ids[r], matcher.ids[i], distance, size, budget(size)))
+            columns = list(zip(*found, strict=True)) if found else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "distance", "n_bytes", "budget"])
 
     return find
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item, with the columns they had; no row is shuffled."""
-    at, names = docs.columns.index("text"), docs.columns
+    """The documents that hold no item, with the columns they had; no row is shuffled, and what a block leaves is written before the next one."""
+    at = docs.columns.index("text")
 
-    def cleaner(block: list[tuple[int | None, bytes]]):
+    def cleaner(items: Broadcast):
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block)
+            matcher = Matcher(items.value)
             for batch in batches:
                 data, offsets = _lowered(batch.column(at))
                 keep = [not matcher.matches(normal(data[offsets[r] : offsets[r + 1]].tobytes())) for r in range(len(batch))]
@@ -179,7 +197,12 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return clean
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    for block in benchmark_blocks(benchmark):
-        docs = docs.mapInArrow(cleaner(block), schema)
-    return docs.select(*names)
+    left, source = docs, None  # source: the written table that left reads
+    for number, items in enumerate(_passes(benchmark)):
+        if number:
+            table = written(left, "clean")
+            if source is not None:
+                dropped(source)
+            left = source = table
+        left = left.mapInArrow(cleaner(items), docs.schema)
+    return left

@@ -4,7 +4,9 @@ A rule compares one feature of a document with a cutoff. Cutoffs are chosen for
 labelled holdouts: from the most lenient on, a step stands while an exact binomial test shows, at
 the stratum's share of the error level, that good documents are rejected at most at the allowed
 rate. The sequence stops at the first step that cannot be shown, so one test level covers it all
-(fixed-sequence testing); Bonferroni's correction covers strata. There are two sequences:
+(fixed-sequence testing); Bonferroni's correction covers the strata that are tested. Those are the
+strata with the most good labels, as many as can each show something at their share of the level;
+numbers of labels alone decide it. There are two sequences:
 
 * a stratum with good labels enough to outlive a false rejection by each rule tests each rule by
   itself, at its share of the budget and of the level;
@@ -14,22 +16,28 @@ rate. The sequence stops at the first step that cannot be shown, so one test lev
 
 Only the number of good labels picks the sequence. With probability 1 - DELTA all strata keep at
 least 1 - BUDGET of their good documents, besides those that fail the base rules. A stratum of
-fewer good labels than ``labels_needed`` can show nothing, gets no cutoff and keeps its documents.
-
-Results: one row per document. A null text has no words and fails the base rules; null strata are
-a stratum of their own.
+fewer good labels than ``labels_needed`` can show nothing, gets no cutoff and keeps its documents;
+its rows say so by ``undecided``.
+
+Results: one row per document, repeated rows each for itself; ties at a cutoff stay, as only what
+is above goes. A null text has no words and fails the base rules; null strata are a stratum of
+their own; an empty table gives an empty one; a text of any length is counted whole, which takes
+some 40 bytes a word in its task. Extra columns, of whatever names, are kept by
+``kept_documents`` and left out of the verdicts.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamina.llm import seqs
 from lamina.llm.common import written
@@ -88,31 +96,34 @@ def _counts(texts: list[bytes]) -> list[np.ndarray]:
     return [words, chars, symbols, lines, dups, repeats]
 
 
-def counted(docs: DataFrame, keep: list[str], stratum: str) -> DataFrame:
-    """The kept columns with the counts and the stratum of each row, by names that begin with ``_q_``."""
-    columns = keep if "text" in keep else [*keep, "text"]
-    text_at, n_kept = columns.index("text"), len(keep)
-    names = [*keep, "_q_stratum", *(f"_q_{c}" for c in COUNTS)]
+def counted(rows: DataFrame, keep: str, text_of: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """The kept column with the counts of COUNTS and the stratum of each row.
+
+    rows: the kept column first, ``stratum`` next, and what else text_of needs.
+    """
+    names = [keep, "stratum", *COUNTS]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = seqs.utf8_column(batch.column(text_at))
+            data, offsets = seqs.utf8_column(text_of(batch))
             lots = [_counts([data[offsets[r] : offsets[r + 1]].tobytes() for r in range(i, j)]) for i, j in seqs.slices(offsets, PIECE)]
             found = [pa.array(np.concatenate(x)) for x in zip(*lots, strict=True)] if lots else [pa.array([], pa.int64())] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], batch.column(len(columns)), *found], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *found], names)
+
+    counts = [T.StructField("stratum", T.StringType()), *(T.StructField(c, T.LongType()) for c in COUNTS)]
+    return rows.mapInArrow(measure, T.StructType([rows.schema[keep], *counts]))
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_q_stratum string", *(f"_q_{c} long" for c in COUNTS)])
-    rows = docs.select(*columns, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_q_stratum"))
-    return rows.mapInArrow(measure, schema)
+
+def _stratum(of: str) -> Column:
+    return F.coalesce(F.col(of).cast("string"), F.lit("")).alias("stratum")
 
 
 def _share(part: str, whole: str) -> Column:
-    return F.when(F.col(f"_q_{whole}") > 0, F.col(f"_q_{part}") / F.col(f"_q_{whole}")).otherwise(0.0)
+    return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
 
 
 def base_failed() -> Column:
-    return (F.col("_q_n_words") < MIN_WORDS) | (100 * F.col("_q_n_repeat_words") > REPEAT_PERCENT * F.col("_q_n_words"))
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
 def rule_features() -> dict[str, Column]:
@@ -127,14 +138,9 @@ def rule_features() -> dict[str, Column]:
 
 def measured(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     """doc_id, stratum, the counts, base_failed and the rules' features of every document."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(stratum).alias("_stratum"))
-    return counted(slim, ["doc_id"], "_stratum").select(
-        "doc_id",
-        F.col("_q_stratum").alias("stratum"),
-        *(F.col(f"_q_{c}").alias(c) for c in COUNTS),
-        base_failed().alias("base_failed"),
-        *(f.alias(r) for r, f in rule_features().items()),
-    )
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _stratum(stratum), F.col("text").cast("string").alias("text"))
+    rows = counted(slim, "doc_id", lambda batch: batch.column(2))
+    return rows.select("doc_id", "stratum", *COUNTS, base_failed().alias("base_failed"), *(f.alias(r) for r, f in rule_features().items()))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -158,6 +164,16 @@ def labels_needed(strata: int, budget: float = BUDGET, delta: float = DELTA) ->
     return math.ceil(math.log(delta / strata) / math.log1p(-budget))
 
 
+def tested_strata(good: dict[int, int], budget: float = BUDGET, delta: float = DELTA) -> int:
+    """How many strata are tested: as many as have labels enough at their share of the level. good: strata by their number of good labels."""
+    strata, k = 0, 0
+    for labels in sorted(good, reverse=True):
+        strata += good[labels]
+        # the largest number of strata at which these labels are enough
+        k = max(k, min(strata, int(delta * math.exp(-labels * math.log1p(-budget)) * (1 + 1e-12))))
+    return k
+
+
 def steps(n_cutoffs: list[int], caught: list[int]) -> list[tuple[int, int]]:
     """(rule, cutoff) of the joint sequence, by numbers; caught: bad documents above each rule's last cutoff."""
     order = sorted(range(len(n_cutoffs)), key=lambda r: -caught[r])
@@ -200,16 +216,18 @@ def thresholds(features: DataFrame, labels: DataFrame, grids: dict[str, list[flo
     held = features.join(judged, "doc_id").filter(~F.col("base_failed"))
     level = {r: sum(((F.col(r) <= c).cast("int") for c in grid), F.lit(0)).alias(f"_{r}") for r, grid in grids.items()}
     cells = held.groupBy("stratum", *level.values()).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    strata = held.filter("good").select("stratum").distinct().agg(F.count("*").alias("strata"))
+    # numbers of labels beyond what any number of strata needs are one, so their table is small
+    most = labels_needed(10**12, budget, delta)
+    per = held.filter("good").groupBy("stratum").count().groupBy(F.least("count", F.lit(most)).alias("labels")).count()
+    strata = max(1, tested_strata({r["labels"]: r["count"] for r in per.collect()}, budget, delta))
     names = [f"{r}_cutoff" for r in grids]
 
     def choose(pdf):
-        found = chosen_cutoffs(pdf[[f"_{r}" for r in grids]].to_numpy(), pdf["good"].to_numpy(), pdf["bad"].to_numpy(), list(grids.values()), max(1, int(pdf["strata"].iloc[0])), budget, delta)
+        found = chosen_cutoffs(pdf[[f"_{r}" for r in grids]].to_numpy(), pdf["good"].to_numpy(), pdf["bad"].to_numpy(), list(grids.values()), strata, budget, delta)
         return pd.DataFrame([[pdf["stratum"].iloc[0], *found]], columns=["stratum", *names])
 
     schema = ", ".join(["stratum string", *(f"{n} double" for n in names)])
-    # one row of totals
-    return cells.crossJoin(F.broadcast(strata)).groupBy("stratum").applyInPandas(choose, schema).select("stratum", *(F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in names))
+    return cells.groupBy("stratum").applyInPandas(choose, schema).select("stratum", *(F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in names))
 
 
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -218,12 +236,12 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFra
     cutoffs = written(thresholds(features, labels), "cutoffs").withColumnRenamed("stratum", "_stratum")
     rows = features.join(cutoffs, F.col("stratum") == F.col("_stratum"), "left").drop("_stratum")
     failed: list[Column] = [F.when(F.col(r) > F.col(f"{r}_cutoff"), F.lit(r)) for r in GRIDS]
-    rows = rows.withColumn("failed_rules", F.array_compact(F.array(*failed)))
+    rows = rows.withColumn("failed_rules", F.array_compact(F.array(*failed))).withColumn("undecided", F.coalesce(*(F.col(f"{r}_cutoff") for r in GRIDS)).isNull())
     return rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return judged(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+    return judged(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"), "undecided")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -233,8 +251,10 @@ def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") ->
     is shuffled and rows need no key.
     """
     cutoffs = written(thresholds(written(measured(docs, stratum), "features"), labels), "cutoffs").withColumnRenamed("stratum", "_stratum")
-    rows = counted(docs, docs.columns, stratum).filter(~base_failed())
-    rows = rows.join(cutoffs, F.col("_q_stratum") == F.col("_stratum"), "left")
+    at = docs.columns.index("text")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), _stratum(stratum))
+    rows = counted(rows, "doc", lambda batch: pc.struct_field(batch.column(0), [at])).filter(~base_failed())
+    rows = rows.join(cutoffs, F.col("stratum") == F.col("_stratum"), "left")
     for r, feature in rule_features().items():
         rows = rows.filter(~F.coalesce(feature > F.col(f"{r}_cutoff"), F.lit(False)))
-    return rows.select(*docs.columns)
+    return rows.select("doc.*")
