@@ -1,15 +1,23 @@
-"""Removal of repeated word windows, by a compressed FM-index per shard.
-
-Within a shard (see ``repeats``) the distinct runs of words, as symbols with an end mark after
-each, are one text. Its index is the Burrows-Wheeler transform, sorted to a little more than the
-window, in a wavelet matrix of packed bits. Every run is then streamed through it from its last
-word back: a step takes the interval of ``w + pattern`` from that of the pattern by two ranks, and
-once the match is longer than the window the interval widens to all rows that agree over the
-window (its parent at that depth). So each position gets its matching statistic, capped at the
-window, and the interval of every window with its smallest document.
+"""Removal of repeated word windows, by compressed FM-indexes in each shard.
+
+Within a shard (see ``repeats``) the distinct runs of words arrive by ascending document, in
+batches; a run's symbols with an end mark after them stand in one text. A batch is streamed
+through the indexes of the batches before it, of which none holds the streamed documents, and then
+gets an index of its own; equal-sized indexes are built anew as one, so a shard has logarithmically
+many. As an index is built, its own windows get the smallest document of their interval.
+
+An index is the Burrows-Wheeler transform in a wavelet matrix of packed bits, whose words of equal
+bits are not stored, the common prefix of neighbouring rows up to the window (a byte a row), and
+for each depth a bit vector of where rows begin to differ. No suffix is kept. Streaming goes from a
+run's last word back: a step takes the interval of ``w + pattern`` from that of the pattern by two
+ranks. If that is empty, the pattern is shortened at its right end to the next depth at which its
+interval grows, and so on; a match beyond the window is cut to it in the same way. So each position
+gets its matching statistic, capped at the window, and where that reaches the window its interval
+tells the smallest document.
 
 Results: one row per document. A null text has no words, a null id is larger than all others;
-documents with equal ids remove nothing from each other.
+documents with equal ids remove nothing from each other; texts of any length are cut into pieces
+that overlap by a window; extra columns, of whatever names, are left out.
 """
 
 from __future__ import annotations
@@ -21,24 +29,40 @@ from pyspark.sql import functions as F
 from lamina.llm import repeats, seqs
 
 WINDOW = 13
+#: Symbols of a batch, the size of the smallest indexes.
+BATCH = 1 << 15
 
 
 class BitVector:
-    """Packed bits with a running count for each 64 of them."""
+    """Packed bits with a running count for each 64 of them; all-zero and all-one words are stored once."""
 
     def __init__(self, bits: np.ndarray):
+        self.size = len(bits)
         padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
         padded[: len(bits)] = bits
-        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
-        ones = np.bitwise_count(self.words)
-        self.before = np.concatenate(([0], np.cumsum(ones)[:-1])).astype(np.uint32)
-        self.ones = int(ones.sum())
+        words = np.packbits(padded, bitorder="little").view(np.uint64)
+        ones = np.bitwise_count(words)
+        self.before = np.concatenate(([0], np.cumsum(ones))).astype(np.uint32)
+        self.ones = int(self.before[-1])
+        mixed = (ones > 0) & (ones < 64)
+        self.slot = np.where(mixed, np.cumsum(mixed) + 1, ones == 64).astype(np.uint32)
+        self.words = np.concatenate((np.array([0, 2**64 - 1], np.uint64), words[mixed]))
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before each position."""
         word = i >> 6
         below = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & below).astype(np.int64)
+        return self.before[word] + np.bitwise_count(self.words[self.slot[word]] & below).astype(np.int64)
+
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """The position of the kth one, from 0; the size where there is none."""
+        there = np.flatnonzero(k < self.ones)
+        word = np.searchsorted(self.before, k[there], "right") - 1
+        bits = np.unpackbits(self.words[self.slot[word]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        left = (k[there] - self.before[word]).astype(np.int64)
+        out = np.full(len(k), self.size, np.int64)
+        out[there] = word * 64 + (np.cumsum(bits, axis=1) > left[:, None]).argmax(1)
+        return out
 
 
 class WaveletMatrix:
@@ -65,59 +89,81 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search over a text of symbols (0 is the end mark), to patterns of ``window`` symbols and one more."""
+    """Backward search over a text of symbols (0 is the end mark), to patterns of ``window`` symbols.
 
-    def __init__(self, text: np.ndarray, window: int):
-        self.window, n, kinds = window, len(text), int(text.max()) + 1
-        ranks, depth, by_depth = text.astype(np.int64), 1, {1: text.astype(np.int64)}
-        while depth < window + 1:
+    order: the document's rank for each position. ``own`` has, for each position of the text, the
+    smallest document of what stands there over the window.
+    """
+
+    def __init__(self, text: np.ndarray, order: np.ndarray, window: int, kinds: int):
+        self.window, self.size = window, len(text)
+        ranks, depth, n = text.astype(np.int64), 1, len(text)
+        suffixes = np.argsort(ranks, kind="stable")
+        while depth < window:
             wide = np.int64(ranks.max() + 2)
-            pair = ranks * wide + self._shifted(ranks, depth) + 1
-            order = np.argsort(pair, kind="stable")
-            new = np.empty(n, np.int64)
-            new[order] = np.cumsum(np.concatenate(([False], pair[order][1:] != pair[order][:-1])))
-            ranks, depth = new, depth * 2
-            by_depth[depth] = ranks
-        self.suffixes = order
-        self.bwt = WaveletMatrix(text[order - 1], kinds)
+            shifted = np.full(n, 0, np.int64)
+            shifted[: n - depth] = ranks[depth:] + 1
+            pair = ranks * wide + shifted
+            suffixes = np.argsort(pair, kind="stable")
+            ranks = np.empty(n, np.int64)
+            ranks[suffixes] = np.cumsum(np.concatenate(([False], pair[suffixes][1:] != pair[suffixes][:-1])))
+            depth *= 2
+        self.bwt = WaveletMatrix(text[suffixes - 1], kinds)
         self.below = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=kinds))[:-1]))
-        # rows that agree over just the window: compare by powers of two that add up to it
-        same, at = np.ones(n - 1, bool), 0
-        for bit in range(window.bit_length() - 1, -1, -1):
-            if window >> bit & 1:
-                part = self._shifted(by_depth[1 << bit], at)[order]
-                same &= part[1:] == part[:-1]
-                at += 1 << bit
-        first = np.flatnonzero(np.concatenate(([True], ~same)))
-        self.first, self.end = first, np.concatenate((first[1:], [n]))
-        self.group = np.cumsum(np.concatenate(([0], ~same)))
-
-    @staticmethod
-    def _shifted(ranks: np.ndarray, by: int) -> np.ndarray:
-        out = np.full(len(ranks), -1, np.int64)
-        out[: len(ranks) - by] = ranks[by:]
-        return out
-
-    def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.below[symbol] + self.bwt.rank(symbol, low), self.below[symbol] + self.bwt.rank(symbol, high)
+        # common prefixes of neighbouring rows, and where rows begin to differ at each depth
+        same, common, self.edges = np.ones(n - 1, bool), np.zeros(n - 1, np.uint8), [None]
+        for q in range(window):
+            at = suffixes + q
+            symbol = np.where(at < n, text[np.minimum(at, n - 1)], -1)
+            same &= symbol[1:] == symbol[:-1]
+            common += same
+            self.edges.append(BitVector(np.concatenate(([True], ~same))))
+        self.common = np.concatenate((np.zeros(1, np.uint8), common, np.zeros(1, np.uint8)))
+        differ = np.concatenate(([True], ~same))
+        self.lowest = np.minimum.reduceat(order[suffixes], np.flatnonzero(differ))
+        self.own = np.empty(n, np.int64)
+        self.own[suffixes] = self.lowest[np.cumsum(differ) - 1]
+
+    def smallest(self, low: np.ndarray) -> np.ndarray:
+        """The smallest document of intervals of the window's depth."""
+        return self.lowest[self.edges[self.window].rank(low + 1) - 1]
+
+    def _widened(self, depth: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of depth symbols (0: all) around rows."""
+        first, last = np.zeros(len(low), np.int64), np.full(len(low), self.size, np.int64)
+        for d in np.unique(depth[depth > 0]):
+            own = np.flatnonzero(depth == d)
+            k = self.edges[d].rank(low[own] + 1)
+            first[own], last[own] = self.edges[d].select(k - 1), self.edges[d].select(k)
+        return first, last
 
     def matching_statistics(self, text: np.ndarray, end: np.ndarray, length: np.ndarray):
-        """Stream texts (text[end - length : end], all of which the index holds) from their ends.
+        """Stream texts (text[end - length : end]) from their ends.
 
         Yields, by step, the streams at work, their position, the length matched from it (up to
         the window) and the rows low to high of that match.
         """
-        low, high = np.zeros(len(end), np.int64), np.full(len(end), len(self.suffixes), np.int64)
-        for j in range(1, int(length.max()) + 1):
+        low, high, depth = np.zeros(len(end), np.int64), np.full(len(end), self.size, np.int64), np.zeros(len(end), np.int64)
+        for j in range(1, int(length.max()) + 1 if len(length) else 0):
             at = np.flatnonzero(length >= j)
-            low[at], high[at] = self.step(text[end[at] - j], low[at], high[at])
-            if j > self.window:
-                group = self.group[low[at]]
-                low[at], high[at] = self.first[group], self.end[group]
-            yield at, end[at] - j, min(j, self.window), low[at], high[at]
-
-
-def least_of(window: int):
+            waiting = at
+            while len(waiting):
+                symbol = text[end[waiting] - j]
+                first = self.below[symbol] + self.bwt.rank(symbol, low[waiting])
+                last = self.below[symbol] + self.bwt.rank(symbol, high[waiting])
+                found = last > first
+                hit, missed = waiting[found], waiting[~found]
+                low[hit], high[hit], depth[hit] = first[found], last[found], depth[hit] + 1
+                waiting = missed[depth[missed] > 0]
+                depth[waiting] = np.maximum(self.common[low[waiting]], self.common[high[waiting]])
+                low[waiting], high[waiting] = self._widened(depth[waiting], low[waiting])
+            deep = at[depth[at] > self.window]
+            depth[deep] = self.window
+            low[deep], high[deep] = self._widened(depth[deep], low[deep])
+            yield at, end[at] - j, depth[at], low[at], high[at]
+
+
+def least_of(window: int, batch: int = BATCH):
     """The smallest document of every window of a shard's distinct runs (see ``repeats.shard_answer``)."""
 
     def find(runs: dict[str, np.ndarray], symbols: np.ndarray) -> np.ndarray:
@@ -130,32 +176,49 @@ def least_of(window: int):
         inner = np.flatnonzero(is_end)
         begin = np.sort(np.concatenate((stop - size, inner + 1)))
         finish = np.sort(np.concatenate((stop, inner)))
-        _, word = seqs.distinct_spans(buf, begin, finish)
+        words, word = seqs.distinct_spans(buf, begin, finish)
         count = runs["windows"] + window - 1
-        n = len(count)
         # the text: each run's words from 1 on, then 0
-        text = np.zeros(int(count.sum()) + n, np.int64)
+        text = np.zeros(int(count.sum()) + len(count), np.int64)
         end = np.cumsum(count + 1) - 1
         is_word = np.ones(len(text), bool)
         is_word[end] = False
         text[is_word] = word + 1
-        index = FMIndex(text, window)
-        row_order = np.repeat(runs["order"], count + 1)[index.suffixes]
-        lowest = np.minimum.reduceat(row_order, index.first)
+        place, first = np.cumsum(runs["windows"]) - runs["windows"], end - count
         least = np.empty(int(runs["windows"].sum()), np.int64)
-        place = np.cumsum(runs["windows"]) - runs["windows"]
-        begin_at = end - count
-        for at, position, matched, low, _ in index.matching_statistics(text, end, count):
-            if matched == window:
-                least[place[at] + position - begin_at[at]] = lowest[index.group[low]]
+        arrival = np.argsort(runs["order"], kind="stable")
+        cuts = np.flatnonzero(np.diff(np.cumsum(count[arrival] + 1) // batch, prepend=-1))
+        family: list[tuple[int, np.ndarray, FMIndex]] = []
+
+        def indexed(own: np.ndarray) -> FMIndex:
+            return FMIndex(seqs.gather(text, first[own], count[own] + 1), np.repeat(runs["order"][own], count[own] + 1), window, len(words) + 1)
+
+        for own in np.split(arrival, cuts[1:]):
+            index = indexed(own)
+            ends = np.cumsum(count[own] + 1)
+            slots = seqs.gather(np.arange(len(least)), place[own], runs["windows"][own])
+            least[slots] = seqs.gather(index.own, ends - count[own] - 1, runs["windows"][own])
+            index.own = None
+            for _, _, level in family:
+                for at, position, matched, low, _ in level.matching_statistics(text, end[own], count[own]):
+                    whole = np.flatnonzero(matched == window)
+                    run = own[at[whole]]
+                    slot = place[run] + position[whole] - first[run]
+                    least[slot] = np.minimum(least[slot], level.smallest(low[whole]))
+            family.append((1, own, index))
+            while len(family) > 1 and family[-1][0] == family[-2][0]:
+                (n, a, _), (_, b, _) = family.pop(), family.pop()
+                both = np.concatenate((b, a))
+                family.append((2 * n, both, indexed(both)))
+                family[-1][2].own = None
         return least
 
     return find
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, shards: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, batch: int = BATCH, shards: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, n_spans, kept_sha256 of each document without the words of repeated windows."""
-    return repeats.removed(docs, window, "word", least_of(window), shards).withColumnRenamed("n_units", "n_words")
+    return repeats.removed(docs, window, "word", least_of(window, batch), shards).withColumnRenamed("n_units", "n_words")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -32,6 +32,8 @@ from lamina.llm.common import keyed, shard_count
 
 #: Bytes of text handled at once, and gathered before prints or runs are sent.
 PIECE, FLUSH_PRINTS, FLUSH = 1 << 20, 24 << 20, 12 << 20
+#: Symbols of an anchor.
+GRAM = {"byte": 16, "word": 4}
 FIELDS = (("print", np.uint32), ("key", np.int64), ("late", np.int64), ("start", np.int64), ("size", np.uint32), ("lead", np.uint8), ("windows", np.uint8))
 
 
@@ -65,7 +67,7 @@ def print_of(anchor: np.ndarray, shards: int) -> np.ndarray:
     return (anchor // np.uint64(shards) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def byte_runs(texts: list[bytes], window: int, k: int = 16) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def byte_runs(texts: list[bytes], window: int, k: int = GRAM["byte"]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Runs of byte windows; ``at`` and ``size`` give the bytes around a run in the buffer."""
     buf = np.frombuffer(b"".join(texts), np.uint8)
     first = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
@@ -74,7 +76,7 @@ def byte_runs(texts: list[bytes], window: int, k: int = 16) -> tuple[dict[str, n
     return {"text": text, "at": start, "start": start - first[text], "size": count + window - 1, "lead": place - start, "windows": count, "anchor": grams[place]}, buf
 
 
-def word_runs(texts: list[bytes], window: int, k: int = 4) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def word_runs(texts: list[bytes], window: int, k: int = GRAM["word"]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Runs of word windows; ``start`` and ``windows`` count words, ``at`` and ``size`` bytes of the joined words."""
     buf, begin, end, first = seqs.split_words(texts)
     grams = seqs.shingles(seqs.span_hashes(buf, begin, end), k)
@@ -405,6 +407,8 @@ def removal_ranges(docs: DataFrame, window: int, unit: str, least_of: Callable,
 
     Both joins read the same columns of the documents, so their shuffle is done once.
     """
+    if not GRAM[unit] <= window < GRAM[unit] + 255:
+        raise ValueError(f"a window has from {GRAM[unit]} to {GRAM[unit] + 254} {unit}s")  # places in a run travel as bytes
     rows = keyed(docs, id_col, text_col)
     found = repeated(rows, window, unit, least_of, shards or shard_count(docs))
     ranges = found.groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))

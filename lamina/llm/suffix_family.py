@@ -10,7 +10,8 @@ takes its smallest document. Then the batch becomes a level, and equal-sized lev
 run is merged into a larger level only logarithmically often.
 
 Results: one row per document. A null text counts as empty, a null id as larger than all others;
-documents with equal ids remove nothing from each other; texts shorter than the window keep all.
+documents with equal ids remove nothing from each other; texts shorter than the window keep all;
+long ones are cut into pieces that overlap by a window; extra columns, of whatever names, are left out.
 """
 
 from __future__ import annotations
