@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,11 +90,53 @@ def page(rows: DataFrame, number: int = 1, size: int = 50, order: Sequence[Colum
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_with_total(rows: DataFrame, number: int = 1, size: int = 50, order: Sequence[Column] | None = None) -> DataFrame:
+    """A page and, on each of its rows, how many rows there are (Q01)."""
+    return page(rows, number, size, order).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row
+
+
+def details(rows: DataFrame, papers: DataFrame, links: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Bulletins by id with what belongs to them; ids are filters of every scan, and only their families are counted."""
+    own = lambda table: table.filter(F.col("bulletin_id").isin(*ids))
+    wanted, every = stemmed(own(rows)), stemmed(rows).select("stem")
+    revisions = every.join(F.broadcast(wanted.select("stem").distinct()), "stem", "left_semi").groupBy("stem").agg((F.count("*") - 1).alias("revisions"))
+    cars = own(links).groupBy("bulletin_id").agg(F.count("*").alias("n_cars"))
+    both = with_papers(wanted.join(revisions, "stem").join(cars, "bulletin_id", "left"), own(papers))
+    return both.select("bulletin_id", "stem", "revisions", F.coalesce("n_cars", F.lit(0)).alias("n_cars"), "n_papers", "paper_summary")
+
+
+def lookup(cars: DataFrame, links: DataFrame, bulletins: DataFrame, year: int, make: str, model: str) -> DataFrame:
+    """Tiers of the families of the cars of that name; their links are taken before anything is folded (Q10)."""
+    mine = cars.filter((F.col("year") == year) & (F.col("make") == F.upper(F.trim(F.lit(make)))) & (F.col("model") == text.normal_model(F.lit(model)))).select("car_id")
+    linked = links.join(F.broadcast(mine), "car_id", "left_semi").select("car_id", "bulletin_id")
+    return severity_counts(fold(stemmed(linked.join(bulletins, "bulletin_id")), ["car_id", "stem"]), F.max("published").alias("newest"))
+
+
+def families_of(rows: DataFrame, stems: Sequence[str]) -> DataFrame:
+    """Bulletins of families, found by how their number begins and then by their stem."""
+    begins = F.lit(False)
+    for s in stems:
+        begins = begins | F.ltrim("number").ilike(f"{s}%")
+    return rows.filter(begins & F.col("stem").isin(*(s.upper() for s in stems)))
+
+
+def _tag(kind: str, tag: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), tag.alias("tag"))
+
+
 def union_of_tags(papers: DataFrame, *columns: str) -> DataFrame:
-    """Documents of a bulletin rolled up: count, distinct tags sorted, first summary by document id."""
-    tags = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in columns]
+    """Documents of a bulletin rolled up: count, distinct tags sorted, first summary by document id.
+
+    Tags are first grouped to distinct ones, so a bulletin's lists are as long as its vocabulary.
+    """
     first = F.min_by("paper_summary", F.when(F.col("paper_summary").isNotNull(), F.col("paper_id"))).alias("paper_summary")
-    return papers.groupBy("bulletin_id").agg(F.count("*").alias("n_papers"), first, *tags)
+    out = papers.groupBy("bulletin_id").agg(F.count("*").alias("n_papers"), first)
+    if columns:
+        every = F.concat(*(F.transform(c, partial(_tag, c)) for c in columns))
+        tags = papers.select("bulletin_id", F.explode(every).alias("t")).select("bulletin_id", "t.*").distinct()
+        lists = [F.array_sort(F.collect_set(F.when(F.col("kind") == c, F.col("tag")))).alias(c) for c in columns]
+        out = out.join(tags.groupBy("bulletin_id").agg(*lists), "bulletin_id", "left")
+    return out
 
 
 def with_papers(rows: DataFrame, papers: DataFrame, *columns: str) -> DataFrame:
@@ -120,6 +163,15 @@ def sample_ids(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return ranked.filter(F.col("place") <= allowed).drop("place")
 
 
+def with_quota(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Every row, and whether it is among the newest few of its tier."""
+    newest = Window.partitionBy(*keys, "severity").orderBy(F.col("published").desc_nulls_last(), F.col("bulletin_id").desc())
+    allowed = F.lit(0)
+    for tier, n in SAMPLE_QUOTA.items():
+        allowed = F.when(F.col("severity") == tier, n).otherwise(allowed)
+    return rows.withColumn("readable", F.row_number().over(newest) <= allowed)
+
+
 def severity_counts(rows: DataFrame, *more: Column) -> DataFrame:
     """One row a tier, zero where there is none."""
     tiers = rows.sparkSession.createDataFrame([(t,) for t in SAMPLE_QUOTA], "severity string")

@@ -22,7 +22,7 @@ def severity_report(bulletins: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def hash_sample(rows: DataFrame, by: str, key: str, n: int, seed: int = 7) -> DataFrame:
-    """n rows of each group in an order fixed by a hash of key and seed (L09, L13, L17); a feature of sampling, not a cap."""
+    """n rows of each group in an order fixed by a hash of key and seed (L09); a feature of sampling, not a cap."""
     draw = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
     return rows.withColumn("rn", F.row_number().over(draw)).filter(F.col("rn") <= n).drop("rn")
 
@@ -60,10 +60,11 @@ def arm_scores(outputs: DataFrame) -> DataFrame:
 
 
 def disagreement(outputs: DataFrame) -> DataFrame:
-    """Mean gap between arms of one document (C29, J19): pairs of arms, a handful a document."""
-    a, b = outputs.alias("a"), outputs.alias("b")
-    pairs = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("a.arm") < F.col("b.arm")))
-    return pairs.groupBy(F.col("a.doc").alias("doc")).agg(F.round(F.avg((F.col("a.answer") != F.col("b.answer")).cast("double")), 6).alias("gap"))
+    """Mean gap between arms of one document (C29, J19): of n arms, n * n less the squares of equal answers' numbers differ in pairs."""
+    equal = outputs.groupBy("doc", "answer").agg(F.count("*").alias("c"))
+    sums = equal.groupBy("doc").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("answer").isNotNull(), F.col("c") * F.col("c"))).alias("same"), F.coalesce(F.sum(F.when(F.col("answer").isNull(), F.col("c"))), F.lit(0)).alias("none"))
+    known = F.col("n") - F.col("none")  # as before, pairs with an unknown answer tell nothing
+    return sums.filter("n > 1").select("doc", F.round(F.when(known > 1, (known * known - F.col("same")) / (known * (known - 1))), 6).alias("gap"))
 
 
 def mean_ranks(rankings: DataFrame) -> DataFrame:

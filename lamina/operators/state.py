@@ -66,9 +66,9 @@ def difference(source: DataFrame, destination: DataFrame, key: str, columns: Seq
 def apply_events(events: DataFrame) -> DataFrame:
     """The last state of each subscription from events that may come twice and out of order.
 
-    Events count once by id; the newest decides, and its statuses map to those kept here.
+    Events count once by id (of copies that differ, the earliest stands); the newest decides, and its statuses map to those kept here.
     """
-    once = events.groupBy("event_id").agg(F.first(F.struct("user_id", "kind", "occurred_at")).alias("e")).select("event_id", "e.*")
+    once = events.groupBy("event_id").agg(F.min(F.struct("occurred_at", "user_id", "kind")).alias("e")).select("event_id", "e.*")
     last = once.groupBy("user_id").agg(F.max_by("kind", F.struct("occurred_at", "event_id")).alias("last_kind"), F.max("occurred_at").alias("changed_at"), F.count("*").alias("n_applied"))
     status = F.when(F.col("last_kind").isin("purchase", "signup"), "active").when(F.col("last_kind") == "error", "past_due").otherwise("canceled")
     return last.withColumn("status", status)

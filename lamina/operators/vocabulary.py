@@ -92,3 +92,15 @@ def any_of(column: Column, patterns: list[str]) -> Column:
     for p in patterns:
         found = found | column.like(p)
     return found
+
+
+def prefill_plan(seeds: DataFrame, cars: DataFrame, vocab: DataFrame, documents_per_bulletin: float, cost_per_document: float) -> DataFrame:
+    """For each listed car, the one there is, the bulletins listed under any spelling of its name, and what they would cost (Q25)."""
+    named = seeds.select("year", F.upper(F.trim("make")).alias("make"), text.normal_model(F.col("model")).alias("model"))
+    existing = cars.groupBy("year", "make", "model").agg(F.min("car_id").alias("car_id"))
+    spelled = resolved_models(vocab).select(F.col("model_year").alias("year"), "make", "model", "listed")
+    counts = vocab.select(F.col("model_year").alias("year"), "make", "model", "bulletins").join(spelled, ["year", "make", "model"]).groupBy("year", "make", "listed").agg(F.sum("bulletins").alias("n"))
+    listed = spelled.join(counts, ["year", "make", "listed"]).select("year", "make", "model", "n")
+    both = named.join(existing, ["year", "make", "model"], "left").join(listed, ["year", "make", "model"], "left").withColumn("n_bulletins", F.coalesce("n", F.lit(0)))
+    documents = F.ceil(F.col("n_bulletins") * documents_per_bulletin)
+    return both.select("year", "make", "model", "car_id", "n_bulletins", documents.alias("n_documents"), F.round(documents * cost_per_document, 4).alias("cost_usd"))

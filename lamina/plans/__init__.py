@@ -1,7 +1,7 @@
 """Queries of the engine's own operators and the SQL that says the same; the training-data ones are elsewhere."""
 
-from lamina.plans import accounts, ledger, listing, reports, retrieval, scalars, state, vocabulary
+from lamina.plans import accounts, evaluation, ledger, listing, lookups, reports, retrieval, scalars, state, vocabulary, writes
 
-_PARTS = (listing, vocabulary, retrieval, scalars, ledger, accounts, state, reports)
+_PARTS = (listing, vocabulary, retrieval, scalars, ledger, accounts, state, reports, writes, evaluation, lookups)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -33,7 +33,7 @@ FROM accounts a LEFT JOIN h USING (user_id) LEFT JOIN plan_of USING (user_id)"""
 
 
 def q27_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q27, F22, C36, D12."""
+    """Q27, F22, C36."""
     garage, people, entitled = _tables(spark, sf_dir)
     return ops.recipients(people, garage, entitled)
 

@@ -18,7 +18,9 @@ def q01_list_communications(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.filter(ops.Filters(status="processed", since=datetime(1995, 6, 1), until=datetime(2001, 6, 1)).condition())
     rows = ops.tagged(rows, papers, "systems", ["BRAKES", "infotainment"])
     listed = ops.page(ops.latest(rows), number=2, size=50)
-    out = ops.with_papers(listed, papers, "symptoms", "systems")
+    # only the page's documents are rolled up
+    own = papers.join(F.broadcast(listed.select("bulletin_id")), "bulletin_id", "left_semi")
+    out = ops.with_papers(listed, own, "symptoms", "systems")
     return out.select("bulletin_id", "number", "published", "severity", F.coalesce("summary", F.lit("")).alias("summary"), "superseded", "n_papers", "paper_summary", *[F.array_join(c, "|").alias(c) for c in ("symptoms", "systems")])
 
 
@@ -36,11 +38,12 @@ FROM pg"""
 
 def q02_get_communications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every bulletin with its cars, documents and revisions of the whole corpus. J01, W09, F14, S14."""
-    rows = ops.stemmed(derived.bulletins(spark, sf_dir))
+    rows = ops.stemmed(derived.bulletins(spark, sf_dir).select("bulletin_id", "number", "processed_at"))
     revisions = rows.groupBy("stem").agg((F.count("*") - 1).alias("revisions"))
-    linked = derived.links(spark, sf_dir).join(derived.cars(spark, sf_dir), "car_id").groupBy("bulletin_id").agg(F.count("*").alias("n_cars"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
-    both = rows.join(revisions, "stem").join(linked, "bulletin_id", "left")
-    out = ops.with_papers(both, derived.papers(spark, sf_dir), "components")
+    years = derived.cars(spark, sf_dir).select("car_id", "year")
+    linked = derived.links(spark, sf_dir).select("bulletin_id", "car_id").join(years, "car_id").groupBy("bulletin_id").agg(F.count("*").alias("n_cars"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    # what belongs to a bulletin is narrow by the time it is joined, all of it by the bulletin's id
+    out = ops.with_papers(rows.join(linked, "bulletin_id", "left"), derived.papers(spark, sf_dir), "components").join(revisions, "stem")
     return out.select("bulletin_id", "stem", "revisions", F.coalesce("n_cars", F.lit(0)).alias("n_cars"), "first_year", "last_year", "n_papers", F.col("processed_at").isNotNull().alias("is_processed"), F.array_join("components", "|").alias("components"))
 
 
@@ -70,10 +73,7 @@ def _car_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q07_my_bulletins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each car's folded list with what a free sample shows: the quota counts over the whole list. W02, A17, L02."""
-    families = _car_families(spark, sf_dir)
-    readable = ops.sample_ids(families.select("car_id", "bulletin_id", "published", "severity"), ["car_id"]).select("car_id", "bulletin_id", F.lit(True).alias("r"))
-    out = families.join(readable, ["car_id", "bulletin_id"], "left")
-    return out.select("car_id", "bulletin_id", "severity", "superseded", F.coalesce("r", F.lit(False)).alias("readable"))
+    return ops.with_quota(_car_families(spark, sf_dir), ["car_id"]).select("car_id", "bulletin_id", "severity", "superseded", "readable")
 
 
 _QUOTA = "CASE severity WHEN 'serious' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
@@ -130,9 +130,12 @@ _Q09M = "SELECT DISTINCT g.user_id, f.bulletin_id FROM garage g JOIN car_familie
 
 def q10_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiers of one car with zeros, and the car that has most families. A03, W03, C46."""
-    families = _car_families(spark, sf_dir)
-    most = families.groupBy("car_id").count().orderBy(F.desc("count"), "car_id").limit(1).select("car_id")
-    counted = ops.severity_counts(families.join(F.broadcast(most), "car_id", "left_semi"), F.max("published").alias("newest"), F.max("car_id").alias("car_id"))
+    # families are counted by their stems; only the one car's links are folded
+    links, rows = derived.links(spark, sf_dir).select("car_id", "bulletin_id"), derived.bulletins(spark, sf_dir)
+    stems = links.join(ops.stemmed(rows.select("bulletin_id", "number")), "bulletin_id").groupBy("car_id").agg(F.countDistinct("stem").alias("n_stems"))
+    most = stems.orderBy(F.desc("n_stems"), "car_id").limit(1).select("car_id")
+    families = ops.fold(ops.stemmed(links.join(F.broadcast(most), "car_id", "left_semi").join(rows, "bulletin_id")), ["car_id", "stem"])
+    counted = ops.severity_counts(families, F.max("published").alias("newest"), F.max("car_id").alias("car_id"))
     return counted.select("severity", "n", "newest", F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " bulletin").otherwise(" bulletins")).alias("label"))
 
 

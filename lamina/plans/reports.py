@@ -60,12 +60,12 @@ SELECT doc_kind, audience, system, available, share + 1 + CASE WHEN open = 1 AND
 
 
 def l09_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five bulletins of each tier in an order fixed by a seed; the draw is the feature. L09, L13, L17. Rows only."""
+    """Five bulletins of each tier in an order fixed by a seed; the draw is the feature. L09. Rows only."""
     return ops.hash_sample(derived.bulletins(spark, sf_dir), "severity", "bulletin_id", 5).select("severity", "bulletin_id")
 
 
 def q24_arm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extractions by audience as arms."""
+    """Extractions by audience as arms."""
     return ops.arm_scores(derived.papers(spark, sf_dir).select(F.col("audience").alias("arm"), F.col("remedy").isNotNull().alias("valid"), "tokens_in", (F.col("tokens_in") * 0.0001).alias("cost")))
 
 
@@ -73,7 +73,7 @@ _Q24 = "SELECT audience AS arm, count(*) AS n, round(avg(CASE WHEN remedy IS NOT
 
 
 def c29_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far a bulletin's documents differ."""
+    """How far a bulletin's documents differ."""
     return ops.disagreement(derived.papers(spark, sf_dir).select(F.col("bulletin_id").alias("doc"), F.col("paper_id").alias("arm"), F.col("audience").alias("answer")))
 
 
@@ -81,7 +81,7 @@ _C29 = "SELECT a.bulletin_id AS doc, round(avg(CASE WHEN a.audience <> b.audienc
 
 
 def a25_mean_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wins and mean ranks of ordered labels."""
+    """Wins and mean ranks of ordered labels."""
     ordered = derived.papers(spark, sf_dir).groupBy("bulletin_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tokens_in", "paper_id", "audience"))), lambda s: s["audience"]).alias("ranking"))
     return ops.mean_ranks(ordered)
 
@@ -107,7 +107,7 @@ _S10 = """SELECT b.bulletin_id, coalesce(n, 0) AS n_papers, j AS papers_json FRO
 
 
 def c40_request_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents packed into requests of 100 rows and 60,000 bytes, by ranges of ids. C40, C39. No SQL; tested against a loop."""
+    """Documents packed into requests of 100 rows and 60,000 bytes, by ranges of ids. C40. No SQL; tested against a loop."""
     rows = derived.papers(spark, sf_dir).select("paper_id", F.col("tokens_in").alias("n_bytes"))
     return ops.packed(rows, "paper_id", 100, 60_000, ranges=8)
 

@@ -132,7 +132,7 @@ _C28 = """SELECT paper_id, round((CASE WHEN lower(systems[1]) = 'brakes' THEN 1
 
 
 def c30_safe_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Safe links, file names, letters in pages."""
+    """Safe links, file names, lengths of pages."""
     return derived.read(spark, sf_dir, "pages").select("page_id", text.safe_link(F.col("url")).alias("safe"), text.archive_name(F.col("url")).alias("file"), F.length("html").alias("n_chars"))
 
 

@@ -1,4 +1,4 @@
-"""Changes as snapshots (D01-D17, J18) and the last runs and heads of queues."""
+"""Changes as snapshots (D01-D06, D08, D11, J18) and the last runs and heads of queues."""
 
 from __future__ import annotations
 
@@ -27,7 +27,7 @@ def d02_insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d05_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A failed try, passing reasons queued again, read bulletins promoted."""
+    """A failed try, passing reasons queued again, read bulletins promoted."""
     rows = derived.bulletins(spark, sf_dir).select("bulletin_id", "status", "attempts", "reason")
     tried = ops.after_attempt(rows, F.col("status") == "pending", F.col("attempts") != 1)
     return ops.promoted(ops.requeue_transient(tried), derived.papers(spark, sf_dir))
@@ -70,7 +70,7 @@ _J18 = "SELECT bulletin_id, CASE attempts WHEN 1 THEN 'insert' WHEN 3 THEN 'extr
 
 
 def l10_latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last event of each account and its first of a kind still in the queue."""
+    """The last event of each account and its first of a kind still in the queue."""
     rows = derived.ledger(spark, sf_dir)
     queued = F.when(F.col("kind") == "view", F.struct("occurred_at", "event_id"))
     return rows.groupBy("user_id").agg(F.max_by("event_id", F.struct("occurred_at", "event_id")).alias("last_event"), F.min(queued)["event_id"].alias("queue_head"))

@@ -24,6 +24,7 @@ def windows(spark: SparkSession, folder: str) -> DataFrame:
 def _rows(batches) -> Iterator:
     import pandas as pd
 
+    csv.field_size_limit(2**31 - 1)  # a cell of any length
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
@@ -45,6 +46,12 @@ def zipped_rows(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInPandas(_rows, "raw_id string, raw_make string, raw_model string, raw_years string, summary string, source_window string")
 
 
+def listed_cars(spark: SparkSession, text: str | None = None, path: str | None = None) -> DataFrame:
+    """year, make, model of a JSON list of cars, given as text or as a file."""
+    whole = spark.read.text(path, wholetext=True) if path else spark.createDataFrame([(text,)], "value string")
+    return whole.select(F.explode(F.from_json("value", "array<struct<year: int, make: string, model: string>>")).alias("c")).select("c.*")
+
+
 def payload_bulletin(payload: str = "payload", wanted: str = "bulletin_id"):
     """The bulletin of a JSON payload with the wanted id, else the first."""
     found = F.from_json(payload, "results ARRAY<STRUCT<id: STRING, number: STRING, summary: STRING>>")["results"]

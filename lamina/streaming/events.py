@@ -12,7 +12,10 @@ def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: in
 
 
 def once_each(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Events counted once by id, remembered for as long as they may come late."""
+    """Events counted once by id, remembered for as long as they may come late: one that comes again after ``delay`` counts again.
+
+    Where that must not be, ``state.insert_absent`` against the table of all seen ids settles it.
+    """
     return events.withWatermark("at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
@@ -23,7 +26,7 @@ def windowed_counts(events: DataFrame, size: str = "1 day") -> DataFrame:
 
 
 def drained(frame: DataFrame, checkpoint: str, path: str) -> None:
-    """Run until nothing new is left, then stop (T02, T08): append mode to Parquet, exactly once by checkpoint."""
+    """Run until nothing new is left, then stop (T02): append mode to Parquet, exactly once by checkpoint."""
     frame.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
