@@ -80,3 +80,27 @@ def test_items_without_an_id(spark):
     found = sorted(((r.doc_id, r.item_id) for r in de.contaminations(docs, bench).collect()), key=str)
     assert found == [(1, 3), (1, None), (3, None)]
     assert [r.doc_id for r in de.clean_documents(docs, bench.filter("item_id is null")).collect()] == [2]
+
+
+def test_short_items(spark):
+    """Items below a piece's length are found as whole words, and only so."""
+    items = [(1, "What is 2 plus 2? Four."), (2, "x"), (3, "ab cd"), (4, ""), (5, "é à"), (6, "..."), (7, "a" * 29), (8, "a" * 30)]
+    texts = ["so: what is 2, plus 2 four", "x", "xx ab  CD", "ab cdx", "cab cd", None, "É À!", "a" * 29, "a" * 31, "b " + "a" * 29 + "b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set()
+    for d, t in enumerate(texts):
+        for i, b in items:
+            n, p = plain(b), plain(t)
+            if n and (b" " + n + b" " in b" " + p + b" " if len(n) < de.MIN_BYTES else best(n, p) <= de.budget(len(n))):
+                want.add((d, i))
+    assert {(x.doc_id, x.item_id) for x in de.contaminations(docs, spark.createDataFrame(items, ITEMS)).collect()} == want
+    assert {(0, 1), (1, 2), (2, 3), (6, 5)} <= want
+
+
+def test_columns_of_any_name(spark):
+    item = "the quick brown fox jumps over the lazy dog near the old river bank"
+    docs = spark.createDataFrame([(1, item, 5, 6), (2, "w " * 100_000 + item, 5, 6), (3, "clean", 5, 6)], "doc_id long, text string, item_id int, budget int")
+    bench = spark.createDataFrame([(1, item)], ITEMS)
+    kept = de.clean_documents(docs, bench)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(3, "clean", 5, 6)]
+    assert {(r.doc_id, r.distance, r.budget) for r in de.contaminations(docs, bench).collect()} == {(1, 0, 4), (2, 0, 4)}

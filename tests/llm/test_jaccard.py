@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from lamina.llm import jaccard
+from tests.llm.test_repeats import thue_morse
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -101,3 +102,29 @@ def test_edges(spark):
     kept = jaccard.one_of_each(df)
     assert kept.columns == df.columns
     assert sorted(r.node for r in kept.collect()) in ([2, 4, 5, 6, 7, 8], [3, 4, 5, 6, 7, 8])
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    rows = [(i, " ".join([x, "b", "c", "d"])) for i, x in enumerate(thue_morse())]
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == [(0, 1, 0), (1, 1, 1)]
+
+
+def test_long_lists(spark):
+    """A common passage in many documents that are near copies of a few, and of none."""
+    r = random.Random(11)
+    common = [f"c{i}" for i in range(40)]
+    bases = [[f"b{k}x{i}" for i in range(8)] for k in range(5)]
+    rows = []
+    for i in range(400):
+        w = common + bases[i % 5] if i % 2 else common + [f"u{i}x{j}" for j in range(r.randint(2, 9))]
+        if i % 7 == 0:
+            w[r.randrange(len(w))] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for percent_of in (jaccard.near_duplicates(df, shards=3),):
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in percent_of.collect()) == brute(rows)
+
+
+def test_slots_grow():
+    assert [jaccard.slot_count(n) for n in (1, 32, 33, 64, 65, 200, 10**6)] == [1 << 18, 1 << 18, 1 << 19, 1 << 19, 1 << 20, 1 << 21, 1 << 22]

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lamina.llm import mixing
@@ -63,3 +64,35 @@ def test_empty(spark):
     assert mixing.mix_plan(empty).count() == 0 and mixing.mix(empty).count() == 0
     blank = spark.createDataFrame([(1, None, None, None, None), (None, "", None, "s", None)], SCHEMA)
     assert [x.copies * x.size for x in mixing.mix_plan(blank).collect()] == [0, 0]
+
+
+def test_columns_of_any_name_and_repeated_rows(spark):
+    """A third of all rows are one row; the user's columns keep their values."""
+    names = ("_h", "_id", "_hash", "_row_key", "_spread", "_bucket", "_own", "_copy", "copies", "rows", "of", "doc", "part", "target")
+    rows = [(None, "a b c d", "hot", i) for i in range(500)] + [(i, "w " * (i % 30), "hot" if i % 2 else f"s{i % 40}", i) for i in range(1000)] + [(2000, "long " * 200_000, "big", 7)]
+    df = spark.createDataFrame([(*x, *[x[3]] * len(names)) for x in rows], "doc_id long, text string, source string, n long, " + ", ".join(f"{c} long" for c in names)).repartition(6)
+    plan = mixing.mix_plan(df)
+    assert plan.count() == len(rows)
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    found = mixed.collect()
+    assert all(set(tuple(x)[3:]) == {x.n} for x in found)
+    assert len(found) == plan.agg(F.sum("copies")).first()[0]
+    of_one = sorted(x.copies for x in plan.filter("doc_id is null").collect())
+    assert of_one[-1] - of_one[0] <= 1
+
+
+def test_many_sources(spark, monkeypatch):
+    """Sources beyond a broadcast: the same plan by a salted join."""
+    df = spark.createDataFrame([(i, "w " * (i % 17), f"s{i % 60}") for i in range(2000)], "doc_id long, text string, source string")
+    few = sorted(tuple(x) for x in mixing.mix_plan(df).collect())
+    monkeypatch.setattr(mixing, "with_facts", lambda rows, facts, f=mixing.with_facts: f(rows, facts, few=3))
+    assert sorted(tuple(x) for x in mixing.mix_plan(df).collect()) == few
+
+
+def test_targets_that_cannot_be_met(spark):
+    cells = spark.createDataFrame([("a", "en", 100.0), ("b", "de", 80.0)], "source string, lang string, mass double")
+    by_source = spark.createDataFrame([("a", 150.0), ("b", 50.0)], "source string, target double")
+    by_lang = spark.createDataFrame([("en", 50.0), ("de", 150.0)], "lang string, target double")
+    with pytest.raises(ArithmeticError):
+        mixing.entropy_balance(cells, {"source": by_source, "lang": by_lang}, steps=3)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from lamina.llm import quality
+from tests.llm.test_repeats import thue_morse
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -92,3 +93,21 @@ def test_joint_sequence_holds_the_whole_budget():
     assert quality.chosen_cutoffs(levels, np.array([299, 0, 1]), bad, grids, 4) == [0.1, 0.6]
     assert quality.chosen_cutoffs(levels, np.array([299, 1, 0]), bad, grids, 4) == [None, None]
     assert quality.chosen_cutoffs(levels, np.array([216, 0, 0]), bad, grids, 4) == [None, None]
+
+
+def test_words_that_a_polynomial_confuses():
+    a, b = thue_morse()
+    text = f"w1 w2 {a} w3 w4 and w1 w2 {b} w3 w4"
+    assert [int(x[0]) for x in quality._counts([text.encode()])][5] == brute(text)[4] == 0
+
+
+@pytest.mark.parametrize("good,want", [({1000: 4}, 4), ({217: 4}, 4), ({216: 4}, 3), ({218: 1, 40: 3}, 1), ({149: 1}, 1), ({148: 1}, 0), ({}, 0), ({1200: 10**9}, 10**9)])
+def test_tested_strata(good, want):
+    assert quality.tested_strata(good) == want
+
+
+def test_a_verdict_says_why(spark):
+    """One stratum can be tested, the others say that they cannot."""
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(20)), "en" if i < 160 else "fr") for i in range(200)]
+    out = quality.quality_verdicts(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")).collect()
+    assert {(r.doc_id < 160, r.undecided) for r in out} == {(True, False), (False, True)} and all(r.kept for r in out)
