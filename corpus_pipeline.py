@@ -2,7 +2,11 @@
 
 The first four return the columns of documents; the last returns the token table's documents. A
 mixed document stands as many times as it is taken. SQL cannot express the stages, so the pipeline
-is tested against a brute-force version.
+is tested against a brute-force version, ``tests/llm/test_pipeline.py``.
+
+Rows with null ids, null or empty texts, ties, repeated rows, very long texts, empty tables and
+extra columns of any name are treated as each stage's operator says. Extra columns stay as they
+are up to the last stage.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm import decontaminate, jaccard, mixing, quality, queries, token_table
-from lamina.llm.common import written
+from lamina.llm.common import cleared, dropped, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written and read again."""
+    """All stages on documents, each written and read again; what a stage has used up is deleted."""
     docs = queries.table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"stage-{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with cleared():
+            docs = written(stage(spark, docs, sf_dir), f"stage-{i}", keep=True)
+        dropped(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
