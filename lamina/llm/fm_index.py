@@ -30,7 +30,7 @@ from lamina.llm import repeats, seqs
 
 WINDOW = 13
 #: Symbols of a batch, the size of the smallest indexes.
-BATCH = 1 << 15
+BATCH = 1 << 17
 
 
 class BitVector:
@@ -164,7 +164,7 @@ class FMIndex:
 
 
 def least_of(window: int, batch: int = BATCH):
-    """The smallest document of every window of a shard's distinct runs (see ``repeats.shard_answer``)."""
+    """An earlier document, if there is one, of every window of a shard's distinct runs (see ``repeats.shard_answer``)."""
 
     def find(runs: dict[str, np.ndarray], symbols: np.ndarray) -> np.ndarray:
         size = runs["size"].astype(np.int64)
@@ -200,9 +200,13 @@ def least_of(window: int, batch: int = BATCH):
             least[slots] = seqs.gather(index.own, ends - count[own] - 1, runs["windows"][own])
             index.own = None
             for _, _, level in family:
-                for at, position, matched, low, _ in level.matching_statistics(text, end[own], count[own]):
+                # a run all of whose windows stand in an earlier document has nothing left to find
+                slots = seqs.gather(np.arange(len(least)), place[own], runs["windows"][own])
+                known = least[slots] < np.repeat(runs["order"][own], runs["windows"][own])
+                left = own[~np.logical_and.reduceat(known, np.cumsum(runs["windows"][own]) - runs["windows"][own])]
+                for at, position, matched, low, _ in level.matching_statistics(text, end[left], count[left]):
                     whole = np.flatnonzero(matched == window)
-                    run = own[at[whole]]
+                    run = left[at[whole]]
                     slot = place[run] + position[whole] - first[run]
                     least[slot] = np.minimum(least[slot], level.smallest(low[whole]))
             family.append((1, own, index))
