@@ -50,6 +50,8 @@ SHINGLE, PERCENT = 4, 85
 PIECE, FLUSH, LONG_LIST, BLOCK, SEATS = 1 << 20, 24 << 20, 48, 128, 2048
 #: Slots of the rarity count at least and at most, partitions of the input for the least, slots sent together, and tasks summed together.
 SLOTS, MOST_SLOTS, SLOT_PARTS, SLICE, TASKS = 1 << 18, 1 << 22, 32, 1 << 14, 256
+#: Tasks that the rows of one list, centre or class are dealt to where they get its facts.
+SALTS = 16
 #: DivideSkip's weight of long lists (a fixed value of the published method).
 MU = 0.0085
 _UPPER = bytes(range(65, 91))
@@ -388,10 +390,17 @@ def classes_of(links: DataFrame) -> DataFrame:
         labels.written_at = moved.written_at
 
 
+def _with_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Rows with the one row of facts of their key; a key of many rows is dealt to SALTS tasks by node, its facts to each."""
+    own = rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    each = facts.withColumnRenamed(key, "_key").withColumn("_each", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return own.join(each, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_each"))).drop("_key", "_salt", "_each")
+
+
 def _star_seats(stars: DataFrame) -> DataFrame:
     """(group, node, part) of centres and partners, in blocks of partners with the centre in each."""
-    blocks = stars.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("n")).withColumnRenamed("centre", "_c")
-    placed = stars.join(blocks, F.col("centre") == F.col("_c")).withColumn("group", F.xxhash64("centre", F.pmod(F.xxhash64("node"), F.col("n"))))
+    blocks = stars.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    placed = _with_facts(stars, blocks, "centre").withColumn("group", F.xxhash64("centre", F.pmod(F.xxhash64("node"), F.col("n"))))
     centres = placed.select("group", F.col("centre").alias("node"), F.lit(1).alias("part")).distinct()
     return placed.select("group", "node", F.lit(0).alias("part")).union(centres)
 
@@ -406,11 +415,11 @@ def _long_seats(lists: DataFrame, roots: DataFrame) -> DataFrame:
     roots = roots.select(F.col("node").alias("_node"), "root")
     own = lists.join(roots, F.col("node") == F.col("_node"), "left").select("list", "node", F.coalesce("root", "node").alias("root"))
     largest = own.groupBy("list", "root").count().groupBy("list").agg(F.max_by("root", F.struct("count", "root")).alias("base"), F.count("*").alias("classes"))
-    largest = largest.filter("classes > 1").select(F.col("list").alias("_list"), "base")
-    placed = own.join(largest, F.col("list") == F.col("_list")).select("base", "node", (F.col("root") != F.col("base")).alias("other")).distinct()
+    largest = largest.filter("classes > 1").select("list", "base")
+    placed = _with_facts(own, largest, "list").select("base", "node", (F.col("root") != F.col("base")).alias("other")).distinct()
     number = lambda of: F.ceil(F.greatest(F.count_if(of), F.lit(1)) / BLOCK).cast("int")
-    sizes = placed.groupBy("base").agg(number(~F.col("other")).alias("n_base"), number(F.col("other")).alias("n_other")).withColumnRenamed("base", "_b")
-    placed = placed.join(sizes, F.col("base") == F.col("_b"))
+    sizes = placed.groupBy("base").agg(number(~F.col("other")).alias("n_base"), number(F.col("other")).alias("n_other"))
+    placed = _with_facts(placed, sizes, "base")
     block = F.pmod(F.xxhash64("node"), F.when(F.col("other"), F.col("n_other")).otherwise(F.col("n_base"))).cast("int")
     placed = placed.withColumn("block", block)
     seat = lambda kind, i, j, part: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), part.alias("part"))
