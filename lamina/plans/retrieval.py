@@ -50,9 +50,10 @@ def c12_unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled.select("vec_id", (F.round(1 - vectors.cosine(F.col("embedding"), vectors.literal(query)), 5) + F.lit(0.0)).alias("distance"), F.round(vectors.norm(F.col("u")), 6).alias("length"), F.length(vectors.vector_text(F.slice("u", 1, 1), 4)).alias("n_chars_text"))
 
 
-_C12 = """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
-SELECT vec_id, round(1 - list_inner_product(x, v) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(v, v))), 5) + 0.0 AS distance, 1.0::DOUBLE AS length,
- CASE WHEN printf('%.4f', x[1] / sqrt(list_inner_product(x, x))) LIKE '-%' THEN 9 ELSE 8 END AS n_chars_text FROM e, q"""
+_C12 = """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ u AS (SELECT vec_id, x, list_transform(x, lambda y: y / sqrt(list_inner_product(x, x))) AS u FROM e)
+SELECT vec_id, round(1 - list_inner_product(x, v) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(v, v))), 5) + 0.0 AS distance, round(sqrt(list_inner_product(u, u)), 6) AS length,
+ CAST(length('[' || printf('%.4f', u[1]) || ']') AS INT) AS n_chars_text FROM u, q"""
 
 
 def q06_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,10 @@ def d01_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.upsert(rows.filter("attempts > 0").drop("attempts"), incoming, "bulletin_id", ["number", "summary"], ["status"])
 
 
-_D01 = "SELECT bulletin_id, CASE WHEN attempts = 1 THEN coalesce(number || 'Z', number) WHEN attempts > 0 THEN number END AS number, summary, CASE WHEN attempts = 0 THEN 'pending' ELSE status END AS status, attempts = 0 AS inserted FROM bulletins"
+_D01 = """, c AS (SELECT bulletin_id, number, summary, status FROM bulletins WHERE attempts > 0),
+ i AS (SELECT bulletin_id, CASE WHEN attempts = 1 THEN number || 'Z' END AS number, summary, 'pending' AS status FROM bulletins WHERE attempts < 3)
+SELECT bulletin_id, coalesce(i.number, c.number) AS number, coalesce(i.summary, c.summary) AS summary, CASE WHEN c.bulletin_id IS NULL THEN i.status ELSE c.status END AS status, c.bulletin_id IS NULL AS inserted
+FROM c FULL JOIN i USING (bulletin_id)"""
 
 
 def d02_insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +69,9 @@ def j18_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.difference(rows.filter("attempts < 3"), changed, "bulletin_id", ["number", "published"])
 
 
-_J18 = "SELECT bulletin_id, CASE attempts WHEN 1 THEN 'insert' WHEN 3 THEN 'extra' WHEN 0 THEN 'identical' ELSE CASE WHEN number IS NULL THEN 'identical' ELSE 'update' END END AS action FROM bulletins"
+_J18 = """, s AS (SELECT bulletin_id, number, published FROM bulletins WHERE attempts < 3), d AS (SELECT bulletin_id, CASE WHEN attempts <> 2 THEN number END AS number, published FROM bulletins WHERE attempts <> 1)
+SELECT bulletin_id, CASE WHEN d.bulletin_id IS NULL THEN 'insert' WHEN s.bulletin_id IS NULL THEN 'extra'
+ WHEN s.number IS NOT DISTINCT FROM d.number AND s.published IS NOT DISTINCT FROM d.published THEN 'identical' ELSE 'update' END AS action FROM s FULL JOIN d USING (bulletin_id)"""
 
 
 def l10_latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,8 +70,8 @@ def q11_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("model_year", "make", "make_order", "listed").agg(F.count("*").alias("n_spellings"))
 
 
-_Q11 = _RESOLVED + """SELECT model_year, make, CASE make WHEN 'MAKE 2' THEN 0 ELSE 1 END AS make_order, listed, count(*) AS n_spellings FROM resolved
-WHERE make IN ('MAKE 2', 'MAKE 0') AND model_year IN (SELECT DISTINCT model_year FROM clean WHERE model_year <> 9999 ORDER BY model_year DESC LIMIT 30) GROUP BY ALL"""
+_Q11 = _RESOLVED + """, shown(make, make_order) AS (VALUES ('MAKE 2', 0), ('MAKE 0', 1), ('MAKE 9', 2)), years AS (SELECT DISTINCT model_year FROM resolved WHERE model_year <> 9999 ORDER BY model_year DESC LIMIT 30)
+SELECT model_year, make, make_order, listed, count(*) AS n_spellings FROM resolved JOIN shown USING (make) JOIN years USING (model_year) GROUP BY ALL"""
 
 
 def j17_rekey_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
