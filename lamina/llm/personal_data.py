@@ -316,11 +316,10 @@ def _listed(items: Column) -> Column:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_spans (how many, the method's included) of every document."""
     found = personal_spans(docs)
     bare = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))
 
-
     def number(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
@@ -329,4 +328,5 @@ def personal_data(docs: DataFrame) -> DataFrame:
         *(number(k) for k in BASE),
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
         _listed(F.array_sort(F.concat("base", bare))).alias("spans"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )

@@ -59,6 +59,7 @@ def test_base_against_re(spark):
         assert tuple(r)[1:6] == want, texts[r.doc_id][:200]
         every = r.spans.split(",") if r.spans else []
         assert [s for s in every if s.split(":")[0] in PLAIN] == listed
+        assert r.n_spans == len(every)
 
 
 def test_very_long_texts(spark):
