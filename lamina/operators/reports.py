@@ -23,7 +23,7 @@ def severity_report(bulletins: DataFrame, papers: DataFrame) -> DataFrame:
 
 def hash_sample(rows: DataFrame, by: str, key: str, n: int, seed: int = 7) -> DataFrame:
     """n rows of each group in an order fixed by a hash of key and seed (L09); a feature of sampling, not a cap."""
-    draw = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
+    draw = Window.partitionBy(by).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), F.col(key))
     return rows.withColumn("rn", F.row_number().over(draw)).filter(F.col("rn") <= n).drop("rn")
 
 

@@ -85,9 +85,18 @@ _T06 = "SELECT event_id, count(*) OVER (PARTITION BY user_id, kind ORDER BY occu
 
 
 def t07_sliding_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which events a limiter of 3 in 6 hours admits. No SQL; tested against a loop."""
+    """Which events a limiter of 3 in 6 hours admits. T07."""
     return ops.sliding_limit(derived.ledger(spark, sf_dir), limit=3, seconds=6 * 3600)
 
 
+# an account's events in order, with its last three admitted times: the oldest of them decides
+_T07 = TABLES.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT event_id, user_id, occurred_at AS t, row_number() OVER (PARTITION BY user_id ORDER BY occurred_at, event_id) AS n FROM ledger),
+ s AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS a, NULL::TIMESTAMP AS b, NULL::TIMESTAMP AS c, NULL::BOOLEAN AS allowed FROM ledger GROUP BY user_id
+  UNION ALL
+  SELECT user_id, n, event_id, CASE WHEN ok THEN b ELSE a END, CASE WHEN ok THEN c ELSE b END, CASE WHEN ok THEN t ELSE c END, ok
+  FROM (SELECT o.user_id, o.n, o.event_id, o.t, a, b, c, a IS NULL OR a <= o.t - INTERVAL 6 HOUR AS ok FROM s JOIN o ON o.user_id IS NOT DISTINCT FROM s.user_id AND o.n = s.n + 1))
+SELECT event_id, user_id, allowed FROM s WHERE n > 0"""
+
+
 QUERIES = {f.__name__: f for f in (q13_usage_summary, a08_rollup, a09_average_of_sums, a30_monthly_report, c18_priced_usage, q12_preview, t06_rolling_24h, t07_sliding_limiter)}
-ORACLE_SQL = {n: TABLES + s for n, s in zip(QUERIES, (_Q13, "SELECT kind, model, count(*) AS n, round(sum(cost), 4) AS spend FROM ledger GROUP BY ROLLUP (kind, model)", _A09, _A30, _C18, _Q12, _T06))}
+ORACLE_SQL = {"t07_sliding_limiter": _T07} | {n: TABLES + s for n, s in zip(QUERIES, (_Q13, "SELECT kind, model, count(*) AS n, round(sum(cost), 4) AS spend FROM ledger GROUP BY ROLLUP (kind, model)", _A09, _A30, _C18, _Q12, _T06))}

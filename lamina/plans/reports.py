@@ -60,10 +60,13 @@ SELECT doc_kind, audience, system, available, share + 1 + CASE WHEN open = 1 AND
 
 
 def l09_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five bulletins of each tier in an order fixed by a seed; the draw is the feature. L09. Rows only."""
+    """Five bulletins of each tier in an order fixed by a seed; the draw is the feature. L09."""
     return ops.hash_sample(derived.bulletins(spark, sf_dir), "severity", "bulletin_id", 5).select("severity", "bulletin_id")
 
 
+_L09 = "SELECT severity, bulletin_id FROM (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY md5('7:' || bulletin_id), bulletin_id) AS rn FROM bulletins) WHERE rn <= 5"
+
+
 def q24_arm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extractions by audience as arms."""
     return ops.arm_scores(derived.papers(spark, sf_dir).select(F.col("audience").alias("arm"), F.col("remedy").isNotNull().alias("valid"), "tokens_in", (F.col("tokens_in") * 0.0001).alias("cost")))
@@ -113,4 +116,4 @@ def c40_request_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (a05_status_counts, q19_severity_report, q20_identities, q20_orphans, q22_strata, q24_arm_scores, c29_disagreement, a25_mean_ranks, a26_error_reasons, s10_nested_records, l09_hash_sample, c40_request_packs)}
-ORACLE_SQL = {n: TABLES + s for n, s in zip(QUERIES, (_A05, _Q19, _Q20, _Q20O, _Q22, _Q24, _C29, _A25, _A26, _S10))}
+ORACLE_SQL = {n: TABLES + s for n, s in zip(QUERIES, (_A05, _Q19, _Q20, _Q20O, _Q22, _Q24, _C29, _A25, _A26, _S10, _L09))}
