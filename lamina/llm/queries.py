@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import chat, decontaminate, fm_index, jaccard, licenses, mixing, personal_data, quality, suffix_family, token_table
+from lamina.llm import byte_bpe, chat, decontaminate, fm_index, jaccard, licenses, mixing, periodic, personal_data, quality, suffix_family, token_table, vector_codes
 
-#: The tokenizer file's name among the public ones, and the end id.
-TOKENIZER, END_ID = "word_bpe_49k.json", 2
+#: The tokenizer file's name among the public ones, and the end id; the rank file's name.
+TOKENIZER, END_ID, RANKS = "word_bpe_49k.json", 2, "byte_bpe_50k.tiktoken"
 #: The conversation the contract adds, and what both of its turns say.
 EXTRA_CONVERSATION, EXTRA_TEXT = -7, "</s>[INST] ok [/INST]"
 
@@ -19,10 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,18 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(periodic.with_planted_runs(table(spark, sf_dir, "documents")))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(RANKS))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 _ALL = (
     op1_license_scan,
     op2_suffix_array_dedup,
@@ -79,6 +91,9 @@ _ALL = (
     op8_personal_data,
     op9_chat_formatting,
     op10_ngram_jaccard_join,
+    op11_periodic_runs,
+    op12_byte_bpe,
+    op13_vector_codes,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle_sql()}
