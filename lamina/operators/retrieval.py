@@ -28,12 +28,18 @@ def text_hits(docs: DataFrame, query: str, k: int = TEXT_POOL) -> DataFrame:
     return scored.orderBy(F.desc("rank_score"), "doc_id").limit(k).withColumn("text_rank", F.row_number().over(Window.orderBy(F.desc("rank_score"), "doc_id")))
 
 
-def fused(docs: DataFrame, query: str, query_vector: Sequence[float], search_text: str | None = None, k: int = TOP_K) -> DataFrame:
+def ranked(found: DataFrame, column: str, place: str, k: int) -> DataFrame:
+    """doc_id, the column, and the place of the best k by it, as both candidate lists have them."""
+    return found.select("doc_id", column).orderBy(F.desc(column), "doc_id").limit(k).withColumn(place, F.row_number().over(Window.orderBy(F.desc(column), "doc_id")))
+
+
+def fused(docs: DataFrame, query: str, query_vector: Sequence[float], search_text: str | None = None, k: int = TOP_K, near: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
     """Best document per bulletin, newest bulletin per family with the family's best score, then the top k.
 
     Both candidate lists are bounded by their pools, so what follows them is small at any input size.
+    They are scanned for, or given (``near``: doc_id, cosine, vector_rank; ``hits``: doc_id, text_rank) where indexes are stored.
     """
-    both = nearest(docs, query_vector).join(text_hits(docs, search_text or query), "doc_id", "full_outer")
+    both = (nearest(docs, query_vector) if near is None else near).join(text_hits(docs, search_text or query) if hits is None else hits, "doc_id", "full_outer")
     rrf = F.coalesce(W_VECTOR / (DAMPING + F.col("vector_rank")), F.lit(0.0)) + F.coalesce(W_TEXT / (DAMPING + F.col("text_rank")), F.lit(0.0))
     rows = docs.select("doc_id", "bulletin_id", "number", "published", "systems").join(F.broadcast(both), "doc_id")
     matched = classify.shared_systems(query, F.col("systems"))
