@@ -137,8 +137,8 @@ class Matcher:
 
 
 def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[DataFrame]:
-    """Items (i, t in lower case) in blocks of bounded bytes, each of which a task can hold."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("t"))
+    """Items (i, t) in blocks of bounded bytes, each of which a task can hold."""
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = 1 + 2 * size // BLOCK_BYTES
     return [rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) for b in range(n)]
@@ -147,7 +147,10 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col:
 def _passes(benchmark: DataFrame) -> Iterator[Broadcast]:
     """The normal texts of each block's items, sent to the executors; empty blocks are left out."""
     for block in benchmark_blocks(benchmark):
-        items = sorted({(r.i, normal(r.t.encode())) for r in block.toLocalIterator()}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        found = [(r.i, r.t) for r in block.toLocalIterator()]
+        # lowered as the documents are: letter by letter, so that a final sigma or a dotted I is one letter on both sides
+        data, offsets = _lowered(pa.array([t for _, t in found], pa.string()))
+        items = sorted({(i, normal(data[a:b].tobytes())) for (i, _), a, b in zip(found, offsets[:-1], offsets[1:], strict=True)}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         if items := [x for x in items if x[1]]:
             yield benchmark.sparkSession.sparkContext.broadcast(items)
 

@@ -104,3 +104,11 @@ def test_columns_of_any_name(spark):
     kept = de.clean_documents(docs, bench)
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(3, "clean", 5, 6)]
     assert {(r.doc_id, r.distance, r.budget) for r in de.contaminations(docs, bench).collect()} == {(1, 0, 4), (2, 0, 4)}
+
+
+def test_items_and_texts_are_lowered_alike(spark):
+    items = [(1, "ΟΔΟΣ ΑΘΗΝΑΣ"), (2, "İZMİR LİMAN"), (3, "Ο ΔΡΟΜΟΣ ΠΡΟΣ ΤΗΝ ΠΟΛΗ ΕΙΝΑΙ ΜΑΚΡΥΣ ΚΑΙ ΣΚΟΤΕΙΝΟΣ")]
+    docs = spark.createDataFrame([(i, f"before {t} after", None, None, None) for i, t in items] + [(4, "odos athinas", None, None, None)], SCHEMA)
+    bench = spark.createDataFrame(items, ITEMS)
+    assert sorted((x.doc_id, x.item_id, x.distance) for x in de.contaminations(docs, bench).collect()) == [(1, 1, 0), (2, 2, 0), (3, 3, 0)]
+    assert [x.doc_id for x in de.clean_documents(docs, bench).collect()] == [4]
