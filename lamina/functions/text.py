@@ -217,3 +217,47 @@ def years_named(text: Column) -> Column:
     spans = F.filter(F.arrays_zip(lows.alias("lo"), highs.alias("hi")), lambda s: (s["lo"] <= s["hi"]) & (s["hi"] - s["lo"] <= 40))
     single = F.transform(F.regexp_extract_all(text, F.lit(r"\b(?:19|20)\d{2}\b"), 0), lambda y: y.cast("int"))
     return F.array_sort(F.array_distinct(F.concat(single, F.flatten(F.transform(spans, lambda s: F.sequence(s["lo"], s["hi"]))))))
+
+
+def _units(text: Column) -> Column:
+    """Runs of A-Z and 0-9, and every other character by itself."""
+    return F.regexp_extract_all(text, F.lit(r"[A-Z0-9]+|[^A-Z0-9]"), 0)
+
+
+def names_in(text: Column, names: Column) -> Column:
+    """The names of an array that stand in a text with no letter or digit right before or after; both in normal form.
+
+    A name is a sequence of units, so its ends are ends of units. For each number of units that a
+    name has, the text's sequences of that many are looked up as a set: the work grows with the
+    text and the different lengths, not with the names.
+    """
+    units = _units(text)
+    letters = lambda u: F.coalesce(u.rlike("^[A-Z0-9]"), F.lit(False))
+    keyed = F.transform(names, lambda n: F.struct(n.alias("name"), F.concat_ws("\u0001", _units(n)).alias("key"), F.size(_units(n)).alias("size")))
+    sizes = F.filter(F.array_distinct(F.transform(keyed, lambda k: k["size"])), lambda n: n > 0)
+
+    def sequences(size: Column) -> Column:
+        last = F.size(units) - size
+
+        def at(i: Column) -> Column:
+            first, end = F.get(units, i), i + size
+            # a sequence that begins or ends with another sign must not touch a letter there
+            clear = ~(~letters(first) & letters(F.get(units, i - 1))) & ~(~letters(F.get(units, end - 1)) & letters(F.get(units, end)))
+            return F.when(clear, F.array_join(F.slice(units, i + 1, size), "\u0001"))
+
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), at)).otherwise(F.array().cast("array<string>"))
+
+    found = F.array_distinct(F.flatten(F.transform(sizes, sequences)))
+    hits = F.array_intersect(F.transform(keyed, lambda k: k["key"]), found)
+    return F.array_distinct(F.transform(F.filter(keyed, lambda k: F.array_contains(hits, k["key"])), lambda k: k["name"]))
+
+
+def applicability_recall(products: Column, named: Column) -> Column:
+    """Shares of a bulletin's own years and models (array of ``year``, ``model`` texts) that a text names; null where it lists none."""
+    years = F.array_distinct(F.transform(F.filter(products, lambda p: F.coalesce(p["year"].rlike("^[0-9]+$"), F.lit(False))), lambda p: p["year"].cast("int")))
+    models = F.array_distinct(F.filter(F.transform(products, lambda p: normal_model(p["model"])), lambda m: m != ""))
+    n_years, n_models = F.size(years), F.size(models)
+    hit_years = F.size(F.array_intersect(years, years_named(named)))
+    hit_models = F.size(names_in(normal_model(named), models))
+    share = lambda part, whole: F.when(whole > 0, F.round(part / whole, 6))
+    return F.struct(share(hit_years, n_years).alias("year_recall"), share(hit_models, n_models).alias("model_recall"), share(hit_years + hit_models, n_years + n_models).alias("recall"))
