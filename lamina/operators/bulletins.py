@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
@@ -113,10 +114,10 @@ def lookup(cars: DataFrame, links: DataFrame, bulletins: DataFrame, year: int, m
 
 
 def families_of(rows: DataFrame, stems: Sequence[str]) -> DataFrame:
-    """Bulletins of families, found by how their number begins and then by their stem."""
+    """Bulletins of families, found by how their number begins and then by their stem (F10); signs of patterns in a stem stand for themselves."""
     begins = F.lit(False)
     for s in stems:
-        begins = begins | F.ltrim("number").ilike(f"{s}%")
+        begins = begins | F.ltrim("number").ilike(re.sub(r"([\\%_])", r"\\\1", s) + "%")
     return rows.filter(begins & F.col("stem").isin(*(s.upper() for s in stems)))
 
 

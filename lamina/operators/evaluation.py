@@ -41,9 +41,10 @@ def wall_clocks(runs: DataFrame) -> DataFrame:
 
 
 def labelled_arms(outputs: DataFrame, seed: int = 7) -> DataFrame:
-    """Each document's arms under letters that only seed and document decide (L17); an arm's row is one of few of its document."""
+    """Each document's arms under letters that only seed and document decide (L17); an arm's row is one of few of its document. More arms than letters raise."""
     place = F.row_number().over(Window.partitionBy("doc").orderBy(fixed_order(seed, "doc", "arm"), "arm"))
-    return outputs.withColumn("label", F.substr(F.lit(LABELS), place, F.lit(1)))
+    few = F.when(F.col("place") <= len(LABELS), F.substr(F.lit(LABELS), F.col("place"), F.lit(1))).otherwise(F.raise_error(F.lit(f"more than {len(LABELS)} arms of a document")).cast("string"))
+    return outputs.withColumn("place", place).withColumn("label", few).drop("place")
 
 
 def judged_documents(gaps: DataFrame, n_hard: int, n_random: int, seed: int = 7) -> DataFrame:
@@ -66,9 +67,19 @@ def examples(verdicts: DataFrame, n: int = 3) -> DataFrame:
 
 
 def drawn(rows: DataFrame, takes: DataFrame, cells: Sequence[str], key: str, seed: int = 7) -> DataFrame:
-    """The rows of a stratified sample: forced ones first, then a fixed draw up to what a cell gives (Q22)."""
-    place = F.row_number().over(Window.partitionBy(*cells).orderBy(F.desc("is_forced"), fixed_order(seed, key), key))
-    return rows.join(F.broadcast(takes.select(*cells, "take")), list(cells)).withColumn("place", place).filter(F.col("is_forced") | (F.col("place") <= F.col("take")))
+    """The rows of a stratified sample: forced ones first, then a fixed draw up to what a cell gives (Q22).
+
+    The draw's rank is limited by the most that any cell gives, which Spark applies in every task
+    before a cell's rows come together, so that a hot cell sends a few rows a task.
+    """
+    in_cell = Window.partitionBy(*cells)
+    named = rows.join(takes.select(*cells, "take"), list(cells))
+    forced = named.filter("is_forced").withColumn("place", F.row_number().over(in_cell.orderBy(fixed_order(seed, key), key)))
+    most = takes.agg(F.coalesce(F.max("take"), F.lit(0))).first()[0]
+    first = named.filter("NOT is_forced").withColumn("place", F.row_number().over(in_cell.orderBy(fixed_order(seed, key), key))).filter(F.col("place") <= int(most))
+    n = forced.groupBy(*cells).agg(F.count("*").alias("n_forced"))
+    rest = first.join(n, list(cells), "left").withColumn("place", F.col("place") + F.coalesce("n_forced", F.lit(0))).drop("n_forced").filter(F.col("place") <= F.col("take"))
+    return forced.unionByName(rest)
 
 
 def first_child(children: DataFrame, by: str, order: str, column: str) -> DataFrame:

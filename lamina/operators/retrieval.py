@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,58 @@ def nearest(docs: DataFrame, query_vector: Sequence[float], k: int = VECTOR_POOL
     return scored.orderBy(F.desc("cosine"), "doc_id").limit(k).withColumn("vector_rank", F.row_number().over(Window.orderBy(F.desc("cosine"), "doc_id")))
 
 
+#: Queries that are sent to the tasks at once, rows of a task that are scored at once, and digits of a cosine.
+QUERY_BLOCK, ROW_SLICE, DIGITS = 2048, 512, 5
+
+
+def _running_top(query_ids: np.ndarray, queries: np.ndarray, k: int):
+    """Vectors to each query's best k of a task: (query_id, vec_id, cosine), ties to the smaller id, a query's own row left out."""
+    unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        least = np.full(len(unit), -np.inf)
+        for batch in batches:
+            vectors_ = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            size = np.linalg.norm(vectors_, axis=1)
+            for i in range(0, len(names), ROW_SLICE):
+                own = slice(i, i + ROW_SLICE)
+                cosine = (unit @ vectors_[own].T) / size[own]
+                cosine = np.copysign(np.floor(np.abs(cosine) * 10**DIGITS + 0.5), cosine) / 10**DIGITS
+                q, r = np.nonzero((cosine >= least[:, None]) & (names[own][None, :] != query_ids[:, None]))
+                of, ids, scores = np.concatenate((of, q)), np.concatenate((ids, names[own][r])), np.concatenate((scores, cosine[q, r]))
+                order = np.lexsort((ids, -scores, of))
+                of, ids, scores = of[order], ids[order], scores[order]
+                place = np.arange(len(of)) - np.searchsorted(of, of)
+                last = place == k - 1
+                least[of[last]] = scores[last]
+                of, ids, scores = of[place < k], ids[place < k], scores[place < k]
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[of]), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "cosine"])
+
+    return run
+
+
+def nearest_of_queries(rows: DataFrame, queries: DataFrame, k: int = TOP_K, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, vec_id, cosine, place: the best k rows (vec_id, embedding) of every query (query_id, q), exactly (Q23).
+
+    Queries go to the tasks in blocks of about so many, one pass over the rows a block; a task keeps
+    a running best k of each query, so it sends k rows a query whatever it has read. Null and zero
+    vectors have no cosine.
+    """
+    has_length = lambda c: F.coalesce(vectors.norm(F.col(c)), F.lit(0.0)) > 0
+    asked, scanned = queries.filter(has_length("q")), rows.filter(has_length("embedding")).select(F.col("vec_id").cast("long"), "embedding")
+    schema = "query_id long, vec_id long, cosine double"
+    n = -(-asked.count() // block)
+    out = rows.sparkSession.createDataFrame([], schema)
+    for number in range(n):
+        some = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == number).select("query_id", "q").collect()  # about a block
+        if some:
+            out = out.unionByName(scanned.mapInArrow(_running_top(np.array([r[0] for r in some], np.int64), np.array([r[1] for r in some], np.float64), k), schema))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
+    return out.withColumn("place", place).filter(F.col("place") <= k)
+
+
 def text_hits(docs: DataFrame, query: str, k: int = TEXT_POOL) -> DataFrame:
     """doc_id and rank of the best k documents that have every term."""
     terms = [t for t in dict.fromkeys(query.lower().split()) if t not in text.STOP_WORDS]

@@ -19,8 +19,8 @@ def at(now: datetime) -> Column:
 
 
 def reaped(runs: DataFrame, now: datetime, minutes: int = 30) -> DataFrame:
-    """Active runs without a heartbeat for so long are failed and give up their lock."""
-    gone = F.col("is_active") & (F.col("heartbeat_at") < at(now) - F.make_interval(mins=F.lit(minutes)))
+    """Active runs without a heartbeat for so long are failed and give up their lock; one that never had a heartbeat keeps it."""
+    gone = F.coalesce(F.col("is_active") & (F.col("heartbeat_at") < at(now) - F.make_interval(mins=F.lit(minutes))), F.lit(False))
     return runs.withColumns({"status": F.when(gone, "failed").otherwise(F.col("status")), "error": F.when(gone, ABANDONED), "is_active": F.col("is_active") & ~gone})
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import vectors
@@ -65,15 +65,12 @@ def q06_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q23_retrieval_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hit@k and reciprocal rank of nearest neighbours by label, for queries of a stated set. A22, C43, Q23.
 
-    Query vectors are documents whose id divides by 50: a small set broadcast against all rows.
+    Query vectors are those whose id divides by 50, in blocks against all rows.
     """
     rows = derived.read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     queries = rows.filter("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS q", "label AS wanted")
-    scored = rows.crossJoin(F.broadcast(queries)).filter("vec_id <> query_id")  # a stated query set against all rows
-    scored = scored.select("query_id", "vec_id", "label", "wanted", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 5).alias("c"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id"))
-    top = scored.withColumn("place", place).filter("place <= 5")
-    ranked = top.select("query_id", F.col("label").alias("item"), "place")
+    top = ops.nearest_of_queries(rows, queries)
+    ranked = top.join(rows.select("vec_id", F.col("label").alias("item")), "vec_id").select("query_id", "item", "place")
     return ops.rank_metrics(ranked, queries.selectExpr("query_id", "wanted AS item"))
 
 

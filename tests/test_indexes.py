@@ -105,3 +105,19 @@ def test_small_tables(spark, store):
     assert vector_index.nearest(store, [2.0, 0.0], 40)[0] == [(1, 1.0), (2, 1.0), (3, 0.0)]
     with pytest.raises(ValueError):
         vector_index.build(store, docs.limit(0))
+
+
+def test_best_of_many_queries_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    found = rng.integers(-2, 3, size=(400, 6)).astype(float)  # few values: many equal cosines, some zero vectors
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(found)] + [(900, None)], "vec_id long, embedding array<double>").repartition(3)
+    queries = rows.filter("vec_id % 7 = 0").selectExpr("vec_id AS query_id", "embedding AS q")
+    size = np.linalg.norm(found, axis=1)
+    want = []
+    for q in range(0, 400, 7):
+        if size[q]:
+            scored = sorted((-round(float(found[q] @ found[i] / size[q] / size[i]) + 0.0, 5), i) for i in range(400) if i != q and size[i])
+            want += [(q, i, place + 1) for place, (_, i) in enumerate(scored[:5])]
+    for block in (10, 1000):
+        got = retrieval.nearest_of_queries(rows, queries, 5, block)
+        assert sorted((r.query_id, r.vec_id, r.place) for r in got.collect()) == sorted(want)

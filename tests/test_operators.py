@@ -140,3 +140,41 @@ def test_delivered_once(spark):
 def test_hash_sample_is_stable(spark):
     first = sorted(map(tuple, report_plans.l09_hash_sample(spark, SF).collect()))
     assert first == sorted(map(tuple, report_plans.l09_hash_sample(spark, SF).repartition(3).collect())) and len(first) == 15
+
+
+def test_a_run_without_a_heartbeat_keeps_its_lock(spark):
+    from datetime import datetime
+
+    from lamina.operators import work
+
+    runs = spark.createDataFrame([(1, True, "running", None), (2, True, "running", datetime(2024, 1, 1)), (3, None, "done", None)], "run_id long, is_active boolean, status string, heartbeat_at timestamp_ntz")
+    got = {r.run_id: (r.is_active, r.status) for r in work.reaped(runs, datetime(2024, 1, 20)).collect()}
+    assert got == {1: (True, "running"), 2: (False, "failed"), 3: (None, "done")}
+
+
+def test_a_seventh_arm_raises(spark):
+    import pytest
+
+    from lamina.operators import evaluation
+
+    arms = lambda n: evaluation.labelled_arms(spark.range(n).selectExpr("1 AS doc", "concat('arm', id) AS arm"))
+    assert sorted(r.label for r in arms(6).collect()) == list("ABCDEF")
+    with pytest.raises(Exception, match="more than 6 arms"):
+        arms(7).collect()
+
+
+def test_signs_of_patterns_in_a_stem_stand_for_themselves(spark):
+    from lamina.operators import bulletins
+
+    rows = spark.createDataFrame([("A_1", "A_1"), ("AX1", "A_1"), ("50%", "50%"), ("50 X", "50%")], "number string, stem string")
+    assert sorted(r.number for r in bulletins.families_of(rows, ["a_1", "50%"]).collect()) == ["50%", "A_1"]
+
+
+def test_forced_rows_stand_before_the_draw(spark):
+    from lamina.operators import evaluation
+
+    rows = spark.range(40).selectExpr("id", "id % 2 AS cell", "id < 6 AS is_forced")
+    takes = spark.createDataFrame([(0, 5), (1, 2)], "cell long, take int")
+    got = evaluation.drawn(rows, takes, ["cell"], "id").collect()
+    assert {r.id for r in got if r.is_forced} == set(range(6))
+    assert sorted(r.place for r in got if r.cell == 0) == [1, 2, 3, 4, 5] and sorted(r.place for r in got if r.cell == 1) == [1, 2, 3]
