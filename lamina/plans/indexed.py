@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lamina.operators import bulletins, postings, retrieval, vector_index
+from lamina.operators import bulletins, postings, retrieval, search, vector_index
 from lamina.plans import listing
 from lamina.plans import retrieval as scanned
 from lamina.sources import derived
@@ -52,5 +53,39 @@ def l04_indexed_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.ranked(spark.createDataFrame(near, VECTOR_ROWS), "cosine", "vector_rank", retrieval.VECTOR_POOL)
 
 
-QUERIES = {f.__name__: f for f in (q04_indexed_retrieve, f08_indexed_match, l04_indexed_nearest)}
-ORACLE_SQL = {"q04_indexed_retrieve": scanned.ORACLE_SQL["q04_retrieve"], "f08_indexed_match": listing.ORACLE_SQL["f08_text_match"], "l04_indexed_nearest": scanned._DOCS + " SELECT doc_id, cosine, vector_rank FROM vec"}
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = derived.searchable(spark, sf_dir)
+    found = retrieval.fused(docs, scanned.QUERY, scanned._vector(docs), scanned.SEARCH_TEXT)
+    return found.withColumn("bulletin_id", F.concat(F.lit("10"), F.lpad("bulletin_id", 6, "0")))
+
+
+def _answer(matches):
+    """Cites the first match, the last, and one that was never retrieved."""
+    ids = F.transform(matches, lambda m: m["bulletin_id"])
+    return F.concat(F.lit("See ["), F.get(ids, F.lit(0)), F.lit("] and  [99999999], then ["), F.element_at(ids, -1), F.lit("]."))
+
+
+def q06_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search end to end: its matches with those that the answer cites, the guarded answer and what was charged. Q06, C23, C24, S16."""
+    matches = _matches(spark, sf_dir)
+    payload, usage = search.search(matches, scanned.QUERY, _answer, "q-1", 7, 3)
+    charged = usage.agg(F.count("*").alias("n_charged"), F.sum("tokens_in").alias("tokens_in"), F.max("meta").alias("meta"))
+    found = payload.select("answer", "refused", "confidence", F.array_join("hallucinated", ",").alias("hallucinated"), F.explode("matches").alias("m")).select("answer", "refused", "confidence", "hallucinated", "m.*")
+    return found.crossJoin(F.broadcast(charged))  # one row
+
+
+def q06_refused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a threshold that nothing reaches: no matches are shown and only the embedding is charged. Q06, C24."""
+    payload, usage = search.search(_matches(spark, sf_dir), scanned.QUERY, _answer, "q-1", 7, 3, threshold=1.5)
+    charged = usage.agg(F.count("*").alias("n_charged"), F.max("kind").alias("kind"), F.max("meta").alias("meta"))
+    return payload.select("refused", "answer_generated", "confidence", F.size("matches").alias("n_matches")).crossJoin(F.broadcast(charged))  # one row each
+
+
+_MATCHES = scanned._Q04.rsplit("SELECT t.stem", 1)[0].replace("LIMIT 10", "LIMIT 5") + """, m AS (SELECT '10' || lpad(bid, 6, '0') AS bulletin_id, t.score, v.cosine, t.superseded FROM top t LEFT JOIN vec v ON v.doc_id = t.doc_id),
+ o AS (SELECT *, row_number() OVER (ORDER BY score DESC, bulletin_id) AS n FROM m), g AS (SELECT coalesce(max(cosine) FILTER (n <= 4), 0) AS confidence, count(*) AS k, max(bulletin_id) FILTER (n = 1) AS a, arg_max(bulletin_id, n) AS z FROM o)"""
+_Q06S = _MATCHES + f""" SELECT 'See [' || a || '] and , then [' || z || '].' AS answer, false AS refused, round(confidence, 4) AS confidence, '99999999' AS hallucinated, bulletin_id, round(score, 6) AS score, round(cosine, 4) AS cosine, superseded,
+ bulletin_id = a OR bulletin_id = z AS cited, 2 AS n_charged, {len(scanned.QUERY) // 4} * (k + 2) AS tokens_in, '{{"car_id":3,"user_id":7,"refused":false,"answer_generated":true}}' AS meta FROM o, g WHERE confidence >= 0.55"""
+_Q06R = _MATCHES + """ SELECT true AS refused, false AS answer_generated, round(confidence, 4) AS confidence, 0 AS n_matches, 1 AS n_charged, 'search_embed' AS kind, '{"car_id":3,"user_id":7}' AS meta FROM g"""
+
+QUERIES = {f.__name__: f for f in (q04_indexed_retrieve, f08_indexed_match, l04_indexed_nearest, q06_search, q06_refused_search)}
+ORACLE_SQL = {"q04_indexed_retrieve": scanned.ORACLE_SQL["q04_retrieve"], "f08_indexed_match": listing.ORACLE_SQL["f08_text_match"], "l04_indexed_nearest": scanned._DOCS + " SELECT doc_id, cosine, vector_rank FROM vec", "q06_search": _Q06S, "q06_refused_search": _Q06R}
