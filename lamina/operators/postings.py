@@ -42,8 +42,9 @@ class TextIndex:
         return F.format_string("%06d-%04d", segment, F.pmod(F.crc32(term), F.lit(self.buckets)).cast("int"))
 
     def _postings(self, rows: DataFrame, column: str, segment: int) -> DataFrame:
-        terms = rows.select(*self.keys, F.explode(text.tokens(F.col(column))).alias("term")).groupBy("term", *self.keys).agg(F.count("*").cast("int").alias("n"))
-        return self._laid_out(terms.withColumn("segment", F.lit(segment)))
+        # a row's terms are counted within the row, so that only postings are shuffled
+        counted = rows.select(*self.keys, F.explode(text.term_counts(text.tokens(F.col(column)))).alias("t")).select("t.term", *self.keys, "t.n")
+        return self._laid_out(counted.withColumn("segment", F.lit(segment)))
 
     def _laid_out(self, postings: DataFrame) -> DataFrame:
         """Few files a bucket, each sorted by term; a bucket with a term that every text has is split by size."""
@@ -95,5 +96,6 @@ class TextIndex:
     def matches(self, query: str) -> DataFrame:
         """Keys and rank_score of rows that have every term of the query; a query without terms finds nothing."""
         terms = query_terms(query)
-        found = self.postings_of(terms).groupBy(*self.keys).agg(F.count("*").alias("n_terms"), F.round(F.sum(F.log(1.0 + F.col("n"))), 6).alias("rank_score"))
+        each = self.postings_of(terms).groupBy(*self.keys, "term").agg(F.sum("n").alias("n"))  # rows with one key count as one
+        found = each.groupBy(*self.keys).agg(F.count("*").alias("n_terms"), F.round(F.sum(F.log(1.0 + F.col("n"))), 6).alias("rank_score"))
         return found.filter((F.col("n_terms") == len(terms)) & F.lit(bool(terms))).select(*self.keys, "rank_score")

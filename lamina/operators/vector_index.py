@@ -22,7 +22,7 @@ from lamina.functions import vectors
 from lamina.sources.snapshots import Snapshots
 
 #: Vectors that centroids are fitted on at most, rounds of fitting, cells at most, and what rounding may hide of a cosine.
-SAMPLE, ROUNDS, MOST_CELLS, ROUNDING = 20_000, 8, 4096, 2e-6
+SAMPLE, ROUNDS, MOST_CELLS, ROUNDING = 8192, 8, 4096, 2e-6
 
 
 def fitted(sample: np.ndarray, cells: int, seed: int = 7) -> np.ndarray:
@@ -55,11 +55,11 @@ def _assigner(centroids: np.ndarray):
     return run
 
 
-def build(store: Snapshots, docs: DataFrame, cells: int | None = None, name: str = "vectors") -> int:
+def build(store: Snapshots, docs: DataFrame, cells: int | None = None, name: str = "vectors", sample_size: int = SAMPLE) -> int:
     """Index doc_id and embedding of all rows; how many cells there are. By default as many as the root of the rows."""
     rows = docs.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.coalesce(vectors.norm(F.col("embedding")), F.lit(0.0)) > 0)
     cells = cells or max(1, min(MOST_CELLS, math.isqrt(rows.count())))
-    sample = [r.embedding for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
+    sample = [r.embedding for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_size).collect()]
     if not sample:
         raise ValueError("there is no vector to index")
     matrix = np.array(sample)
