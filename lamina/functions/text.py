@@ -69,15 +69,6 @@ def matches_all(lexemes: Column, terms: Sequence[str]) -> Column:
     return found
 
 
-def term_counts(lexemes: Column) -> Column:
-    """Array of term and n, how often it occurs, by one pass over the sorted terms."""
-    ordered = F.array_sort(lexemes)
-    begins = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
-    ends = F.concat(F.slice(begins, F.lit(2), F.greatest(F.size(begins) - 1, F.lit(0))), F.array(F.size(ordered) + 1))
-    runs = F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda r: F.struct(F.get(ordered, r["b"] - 1).alias("term"), (r["e"] - r["b"]).alias("n")))
-    return F.when(F.size(lexemes) > 0, runs)
-
-
 def text_rank(lexemes: Column, terms: Sequence[str]) -> Column:
     """Sum over the terms of ln(1 + times the term occurs) (C17)."""
 
