@@ -58,8 +58,11 @@ def _assigner(centroids: np.ndarray):
 def build(store: Snapshots, docs: DataFrame, cells: int | None = None, name: str = "vectors", sample_size: int = SAMPLE) -> int:
     """Index doc_id and embedding of all rows; how many cells there are. By default as many as the root of the rows."""
     rows = docs.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.coalesce(vectors.norm(F.col("embedding")), F.lit(0.0)) > 0)
-    cells = cells or max(1, min(MOST_CELLS, math.isqrt(rows.count())))
-    sample = [r.embedding for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_size).collect()]
+    n = rows.count()
+    cells = cells or max(1, min(MOST_CELLS, math.isqrt(n)))
+    # a share by hash first, so that all tasks together send about twice the sample and not each of them a whole one
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(min(1 << 40, (2 * sample_size << 40) // max(1, n)))
+    sample = [r.embedding for r in rows.filter(share).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(sample_size).collect()]
     if not sample:
         raise ValueError("there is no vector to index")
     matrix = np.array(sample)
