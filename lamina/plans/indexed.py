@@ -15,16 +15,21 @@ VECTOR_ROWS = "doc_id long, cosine double"
 
 
 def q04_indexed_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q04 by postings and cells: only the query's terms and the nearest cells are read. L04, L05, Q04, C17."""
+    """q04 by postings and cells: only the query's terms and the nearest cells are read. L04, L05, Q04, C17.
+
+    Texts are indexed as they are read; which of them have a vector is asked of the rows that match,
+    so that no text is shuffled.
+    """
     docs = derived.searchable(spark, sf_dir)
     store = Snapshots(spark, f"{shared_folder(spark, 'search')}/store")
     text = postings.TextIndex(store, ["doc_id"])
-    text.add(docs.select("doc_id", "text"))
+    text.add(derived.read(spark, sf_dir, "documents").select("doc_id", "text"))
     vector_index.build(store, docs)
     query = scanned._vector(docs)
     near, _ = vector_index.nearest(store, query, retrieval.VECTOR_POOL, exact=True)
     near = retrieval.ranked(spark.createDataFrame(near, VECTOR_ROWS), "cosine", "vector_rank", retrieval.VECTOR_POOL)
-    hits = retrieval.ranked(text.matches(scanned.SEARCH_TEXT), "rank_score", "text_rank", retrieval.TEXT_POOL)
+    embedded = derived.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    hits = retrieval.ranked(text.matches(scanned.SEARCH_TEXT).join(embedded, "doc_id", "left_semi"), "rank_score", "text_rank", retrieval.TEXT_POOL)
     matches = retrieval.fused(docs, scanned.QUERY, query, scanned.SEARCH_TEXT, k=10, near=near, hits=hits)
     return retrieval.current_revisions(matches, docs).select("stem", "bulletin_id", "doc_id", "score", "superseded", "family_size")
 
