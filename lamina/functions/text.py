@@ -166,6 +166,41 @@ def letter_share(text: Column) -> Column:
     return F.round(F.regexp_count(text, F.lit(r"\p{L}")) / F.greatest(F.regexp_count(text, F.lit(r"\S")), F.lit(1)), 3)
 
 
+def extraction_yield(pages: Column, low: float) -> Column:
+    """What the texts of a document's pages give, and whether that is enough to keep them.
+
+    Below ``low`` characters a page the text is left out and the method is another one; a document
+    without pages has an error and nothing else. Pages with less than 50 characters count as empty.
+    """
+    whole = storable(F.array_join(pages, "\n", ""))
+    n, total = F.size(pages), F.length(whole)
+    per_page = F.round(total / n, 2)
+    found = F.struct(
+        n.alias("page_count"), total.alias("char_count"), per_page.alias("chars_per_page"), F.when(total > 0, F.round(F.regexp_count(whole, F.lit(r"\p{L}")) / total, 3)).otherwise(0.0).alias("alpha_ratio"),
+        F.size(F.filter(pages, lambda p: F.length(F.coalesce(p, F.lit(""))) < 50)).alias("empty_pages"), F.when(per_page < low, "vision-fallback").otherwise("text").alias("method"),
+        F.when(per_page >= low, whole).alias("text"), F.lit(None).cast("string").alias("error"),
+    )
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("page_count", "int"), ("char_count", "int"), ("chars_per_page", "double"), ("alpha_ratio", "double"), ("empty_pages", "int"), ("method", "string"), ("text", "string"))]
+    return F.when(F.coalesce(n, F.lit(0)) > 0, found).otherwise(F.struct(*nothing, F.lit("zero pages").alias("error")))
+
+
+def plural(n: Column, word: str) -> Column:
+    """A number with its noun."""
+    return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
+
+
+def revision_note(superseded: Column) -> Column:
+    """How many revisions an item stands for, where there are more than itself."""
+    return F.when(superseded > 0, F.concat(F.lit(" (latest of "), (superseded + 1).cast("string"), F.lit(" revisions)"))).otherwise("")
+
+
+def alert_subject(n_items: Column, labels: Column) -> Column:
+    """A subject line from the number of new bulletins and the labels of the cars."""
+    one = F.when(F.size(labels) == 1, F.get(labels, F.lit(0)))
+    ready = F.coalesce(F.concat(F.lit("Your "), one, F.lit(" is ready to read")), F.lit("Your cars are ready to read"))
+    return F.when(n_items > 0, F.concat(plural(n_items, "new bulletin"), F.lit(" for your "), F.coalesce(one, F.lit("cars")))).otherwise(ready)
+
+
 def guarded_citations(answer: Column, retrieved: Column) -> Column:
     """valid and hallucinated citations in order of first use, and the answer without the latter."""
     cited = F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\[\s*(\d{6,})\s*\]"), 1))
