@@ -42,8 +42,18 @@ class TextIndex:
         return F.format_string("%06d-%04d", segment, F.pmod(F.crc32(term), F.lit(self.buckets)).cast("int"))
 
     def _postings(self, rows: DataFrame, column: str, segment: int) -> DataFrame:
-        terms = rows.select(*self.keys, F.explode(text.tokens(F.col(column))).alias("term")).groupBy("term", *self.keys).agg(F.count("*").cast("int").alias("n"))
-        return self._laid_out(terms.withColumn("segment", F.lit(segment)))
+        """Terms of each row with their counts, from runs of equal terms in order, so that counting needs no shuffle.
+
+        A generator of one element keeps the ordered terms, and then the places where runs begin, as
+        columns of their own; the optimizer would work them out anew for every term.
+        """
+        kept = lambda value: F.explode(F.array(value))
+        ordered = rows.select(*self.keys, kept(F.array_sort(text.tokens(F.col(column)))).alias("terms")).filter(F.size("terms") > 0)
+        first = F.filter(F.sequence(F.lit(1), F.size("terms")), lambda i: (i == 1) | (F.get("terms", i - 1) != F.get("terms", i - 2)))
+        begun = ordered.select(*self.keys, "terms", kept(first).alias("begins"))
+        after = F.concat(F.slice("begins", F.lit(2), F.size("begins")), F.array(F.size("terms") + 1))
+        runs = F.zip_with("begins", after, lambda b, e: F.struct(F.get("terms", b - 1).alias("term"), (e - b).alias("n")))
+        return self._laid_out(begun.select(*self.keys, F.inline(runs)).withColumn("segment", F.lit(segment)))
 
     def _laid_out(self, postings: DataFrame) -> DataFrame:
         """Few files a bucket, each sorted by term; a bucket with a term that every text has is split by size."""
@@ -95,5 +105,6 @@ class TextIndex:
     def matches(self, query: str) -> DataFrame:
         """Keys and rank_score of rows that have every term of the query; a query without terms finds nothing."""
         terms = query_terms(query)
-        found = self.postings_of(terms).groupBy(*self.keys).agg(F.count("*").alias("n_terms"), F.round(F.sum(F.log(1.0 + F.col("n"))), 6).alias("rank_score"))
+        counted = self.postings_of(terms).groupBy(*self.keys, "term").agg(F.sum("n").alias("n"))  # a row's keys may have been given twice
+        found = counted.groupBy(*self.keys).agg(F.count("*").alias("n_terms"), F.round(F.sum(F.log(1.0 + F.col("n"))), 6).alias("rank_score"))
         return found.filter((F.col("n_terms") == len(terms)) & F.lit(bool(terms))).select(*self.keys, "rank_score")
