@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def status_counts(bulletins: DataFrame) -> DataFrame:
-    """Counts of one pass."""
+    """Counts of one pass."""
     state = F.col("status")
     return bulletins.agg(
         F.count("*").alias("total"), *[F.count_if(state == s).alias(s) for s in ("pending", "processed", "failed")],

@@ -57,7 +57,7 @@ _C18 = """SELECT event_id, model, round((tokens_in * CASE model WHEN 'm-small' T
 
 
 def q12_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What reading each car's new bulletins would cost and take. Q12, A11, A12, C20, U01, U02."""
+    """What reading each car's new bulletins would cost and take. Q12, A11, A12, C20."""
     papers = derived.papers(spark, sf_dir)
     rates = papers.agg((F.sum("tokens_in") * 0.0001 / F.count("*")).alias("per_paper"), F.count("*").alias("n_papers"))
     total = derived.bulletins(spark, sf_dir).agg(F.count("*").alias("n_all"))

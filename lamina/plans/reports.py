@@ -1,4 +1,4 @@
-"""Reports and evaluations."""
+"""Reports and evaluations."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from lamina.sources import derived
 
 
 def a05_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A05, A06, A20, A21."""
+    """A05."""
     return ops.status_counts(derived.bulletins(spark, sf_dir))
 
 
@@ -68,7 +68,7 @@ _L09 = "SELECT severity, bulletin_id FROM (SELECT *, row_number() OVER (PARTITIO
 
 
 def q24_arm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extractions by audience as arms."""
+    """Q24: extractions by audience as arms, in short."""
     return ops.arm_scores(derived.papers(spark, sf_dir).select(F.col("audience").alias("arm"), F.col("remedy").isNotNull().alias("valid"), "tokens_in", (F.col("tokens_in") * 0.0001).alias("cost")))
 
 

@@ -47,7 +47,7 @@ _OPEN = _RUNS + """, said AS (SELECT json_extract_string(counts, '$.mode') AS mo
 
 
 def f19_claimable_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents a reader may claim, least id first."""
+    """Documents a reader may claim."""
     papers = derived.papers(spark, sf_dir).withColumns({"is_extracted": F.col("audience") != "both", "batch": F.concat(F.lit("b"), (F.col("paper_id") % 5000).cast("string"))})
     found = work.claimable(papers, derived.bulletins(spark, sf_dir), work.open_batches(_runs(spark, sf_dir)))
     return found.select("paper_id", "bulletin_id", "number", "batch")
