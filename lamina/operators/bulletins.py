@@ -92,8 +92,9 @@ def page(rows: DataFrame, number: int = 1, size: int = 50, order: Sequence[Colum
 
 
 def page_with_total(rows: DataFrame, number: int = 1, size: int = 50, order: Sequence[Column] | None = None) -> DataFrame:
-    """A page and, on each of its rows, how many rows there are (Q01)."""
-    return page(rows, number, size, order).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row
+    """A page and, on each of its rows, how many rows there are; a page past the end is one row of nulls with the total (Q01)."""
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    return total.join(F.broadcast(page(rows, number, size, order)), F.lit(True), "left").select(*rows.columns, "total")
 
 
 def details(rows: DataFrame, papers: DataFrame, links: DataFrame, ids: Sequence[str]) -> DataFrame:
