@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,11 +101,70 @@ def _pack(batches, max_rows: int, max_bytes: int):
         yield batch
 
 
-def packed(rows: DataFrame, key: str, max_rows: int, max_bytes: int, ranges: int = 1) -> DataFrame:
-    """Consecutive rows packed greedily into requests of bounded rows and bytes.
+def _ahead(sizes: np.ndarray, max_rows: int, max_bytes: int) -> np.ndarray:
+    """For each row, the row that begins the next pack if a pack begins here."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(len(sizes))
+    by_bytes = np.searchsorted(total, total[:-1] + max_bytes, side="right") - 1
+    return np.maximum(at + 1, np.minimum(at + max_rows, by_bytes))
 
-    Each of ``ranges`` ranges of the key begins a request of its own, so packing runs in that many
-    tasks, each in constant memory.
+
+def _exits(frame: pd.DataFrame, block_rows: int, max_rows: int, max_bytes: int) -> pd.DataFrame:
+    """Of a block, for every row that a pack may begin with when the block before is done: where the last pack ends in the next block, and how many packs begin here."""
+    frame = frame.sort_values("place")
+    ahead = _ahead(frame["n_bytes"].to_numpy(), max_rows, max_bytes)
+    own = int((frame["place"] // block_rows == frame["block"]).sum())
+    out, packs = np.arange(own + max_rows) - own, np.zeros(own + max_rows, dtype=np.int64)
+    for i in range(own - 1, -1, -1):
+        out[i], packs[i] = out[ahead[i]], packs[ahead[i]] + 1
+    entries = np.arange(min(own, max_rows))
+    return pd.DataFrame({"block": frame["block"].iloc[0], "entry": entries, "exit": out[: len(entries)], "packs": packs[: len(entries)]})
+
+
+def _assigned(frame: pd.DataFrame, max_rows: int, max_bytes: int) -> pd.DataFrame:
+    """A block's rows with their packs; rows before its entry belong to the pack that began in the block before."""
+    frame = frame.sort_values("place")
+    ahead, i, begins = _ahead(frame["n_bytes"].to_numpy(), max_rows, max_bytes), int(frame["entry"].iloc[0]), np.zeros(len(frame), dtype=np.int64)
+    while i < len(frame):
+        begins[i], i = 1, int(ahead[i])
+    return frame.assign(pack=frame["first_pack"] - 1 + np.cumsum(begins))[["key", "n_bytes", "pack"]]
+
+
+def packed(rows: DataFrame, key: str, max_rows: int, max_bytes: int, block_rows: int = 1 << 20) -> DataFrame:
+    """Consecutive rows packed greedily into requests of bounded rows and bytes, numbered from 0.
+
+    A pack closes before the row that would be one too many or too large; a row larger than a pack
+    is a pack alone. Sizes that are null count 0; rows of one key are ordered by size.
+
+    Where a pack begins depends on all packs before, so rows are cut into blocks of ``block_rows``.
+    A block sees the first rows of the next, and as a pack has at most ``max_rows`` rows, a block is
+    entered at one of its first ``max_rows`` rows: each block says for every such entry where the
+    next block is entered. The driver follows these (``max_rows`` small rows a block), and the blocks
+    then assign their packs. A task holds one block.
     """
-    dealt = rows.select(key, "n_bytes").repartitionByRange(ranges, key).sortWithinPartitions(key)
-    return dealt.mapInPandas(lambda it: _pack(it, max_rows, max_bytes), f"{key} long, n_bytes long, pack long")
+    block_rows = max(block_rows, max_rows)
+    typed = rows.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col("n_bytes"), F.lit(0)).cast("long").alias("n_bytes"))
+    n = max(1, -(-typed.count() // block_rows))
+    # ranges come from a sample, so they are drawn once and kept
+    dealt = typed.repartitionByRange(n, "key", "n_bytes").withColumn("part", F.spark_partition_id()).checkpoint()
+    starts, seen = [], 0
+    for r in dealt.groupBy("part").count().orderBy("part").collect():  # one row a block
+        starts.append((r.part, seen))
+        seen += r["count"]
+    spark = rows.sparkSession
+    # one row a block
+    first = F.broadcast(spark.createDataFrame(starts, "part int, start long"))
+    order = Window.partitionBy("part").orderBy("key", "n_bytes")
+    placed = dealt.join(first, "part").withColumn("place", F.col("start") + F.row_number().over(order) - 1).select("key", "n_bytes", "place", F.floor(F.col("place") / block_rows).alias("block"))
+    again = placed.filter((F.col("block") > 0) & (F.col("place") % block_rows < max_rows)).withColumn("block", F.col("block") - 1)
+    told = placed.unionByName(again).groupBy("block").applyInPandas(lambda f: _exits(f, block_rows, max_rows, max_bytes), "block long, entry long, exit long, packs long")
+    table = {(r.block, r.entry): (r.exit, r.packs) for r in told.collect()}
+    entries, entry, pack = [], 0, 0
+    for block in range(-(-seen // block_rows)):
+        entries.append((block, entry, pack))
+        # the last block may be shorter than what the pack before reaches into it
+        entry, more = table.get((block, entry), (0, 0))
+        pack += more
+    entered = F.broadcast(spark.createDataFrame(entries, "block long, entry long, first_pack long"))
+    out = placed.join(entered, "block").groupBy("block").applyInPandas(lambda f: _assigned(f, max_rows, max_bytes), "key long, n_bytes long, pack long")
+    return out.select(F.col("key").alias(key), "n_bytes", "pack")

@@ -110,10 +110,15 @@ _S10 = """SELECT b.bulletin_id, coalesce(n, 0) AS n_papers, j AS papers_json FRO
 
 
 def c40_request_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents packed into requests of 100 rows and 60,000 bytes, by ranges of ids. C40. No SQL; tested against a loop."""
+    """Documents packed into requests of 100 rows and 60,000 bytes. C40."""
     rows = derived.papers(spark, sf_dir).select("paper_id", F.col("tokens_in").alias("n_bytes"))
-    return ops.packed(rows, "paper_id", 100, 60_000, ranges=8)
+    return ops.packed(rows, "paper_id", 100, 60_000)
 
 
+_C40 = TABLES.replace("WITH bulletins", "WITH RECURSIVE bulletins", 1) + """, r AS MATERIALIZED (SELECT paper_id, tokens_in AS n_bytes, row_number() OVER w AS i, sum(tokens_in) OVER w AS total FROM papers WINDOW w AS (ORDER BY paper_id ROWS UNBOUNDED PRECEDING)),
+ ahead AS MATERIALIZED (SELECT a.i, coalesce(min(b.i), a.i + 100) AS j FROM r a LEFT JOIN r b ON b.i > a.i AND b.i <= a.i + 100 AND (b.i = a.i + 100 OR b.total - a.total + a.n_bytes > 60000) GROUP BY a.i),
+ begun(i, pack) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT ahead.j, pack + 1 FROM begun JOIN ahead USING (i))
+SELECT r.paper_id, r.n_bytes, b.pack FROM r ASOF JOIN begun b ON r.i >= b.i"""
+
 QUERIES = {f.__name__: f for f in (a05_status_counts, q19_severity_report, q20_identities, q20_orphans, q22_strata, q24_arm_scores, c29_disagreement, a25_mean_ranks, a26_error_reasons, s10_nested_records, l09_hash_sample, c40_request_packs)}
-ORACLE_SQL = {n: TABLES + s for n, s in zip(QUERIES, (_A05, _Q19, _Q20, _Q20O, _Q22, _Q24, _C29, _A25, _A26, _S10, _L09))}
+ORACLE_SQL = {n: TABLES + s for n, s in zip(QUERIES, (_A05, _Q19, _Q20, _Q20O, _Q22, _Q24, _C29, _A25, _A26, _S10, _L09))} | {"c40_request_packs": _C40}
