@@ -29,8 +29,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_text(a: Column, digits: int = 8) -> Column:
-    """``[x,y,...]`` with a fixed number of digits (C14)."""
-    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.format_string(f"%.{digits}f", x.cast("double"))), ","), F.lit("]"))
+    """``[x,y,...]`` with a fixed number of digits, exact halves to the even digit as in C's printf; null components are left out (C14)."""
+    shown = lambda x: F.call_function("format_number", x, F.lit("0." + "0" * digits))
+    # the pattern would write a sign of its own for these
+    named = lambda x: F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.coalesce(named(x.cast("double")), shown(x.cast("double")))), ","), F.lit("]"))
 
 
 def literal(vector: Sequence[float]) -> Column:
