@@ -69,7 +69,7 @@ def q06_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search end to end: its matches with those that the answer cites, the guarded answer and what was charged. Q06, C23, C24, S16."""
     matches = _matches(spark, sf_dir)
     payload, usage = search.search(matches, scanned.QUERY, _answer, "q-1", 7, 3)
-    charged = usage.agg(F.count("*").alias("n_charged"), F.sum("tokens_in").alias("tokens_in"), F.max("meta").alias("meta"))
+    charged = usage.agg(F.count("*").alias("n_charged"), F.sum("tokens_in").alias("tokens_in"), F.max(F.when(F.col("kind") == "answer_compose", F.col("meta"))).alias("meta"))
     found = payload.select("answer", "refused", "confidence", F.array_join("hallucinated", ",").alias("hallucinated"), F.explode("matches").alias("m")).select("answer", "refused", "confidence", "hallucinated", "m.*")
     return found.crossJoin(F.broadcast(charged))  # one row
 
