@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lamina.functions import text
+
 #: Number prefixes that name a type; phrases of a summary, first match wins; document titles.
 NUMBER_PREFIXES = ("TSB", "PIT", "PIC", "PIP")
 SUMMARY_PHRASES = (
@@ -91,17 +93,24 @@ def shared_systems(query: str, tags: Column) -> Column:
 
 def clean_extraction(payload: Column) -> Column:
     """(error, years, models, symptoms, summary) of a model's JSON answer, checked against its contract."""
-    got = F.from_json(payload, "summary STRING, symptoms ARRAY<STRING>, remedy STRING, doc_kind STRING, audience STRING, applicability_years ARRAY<STRING>, applicability_models ARRAY<STRING>", {"mode": "PERMISSIVE"})
-    years = F.filter(F.transform(got["applicability_years"], lambda y: F.trim(y).try_cast("int")), lambda y: y.between(1950, 2100))
-    trimmed = [F.filter(F.transform(got[c], lambda v: F.trim(v)), lambda v: v != "") for c in ("applicability_models", "symptoms")]
-    keys = F.json_object_keys(payload)
-    missing = F.array_except(F.array(*[F.lit(k) for k in ("summary", "symptoms", "remedy", "doc_kind", "audience")]), keys)
-    kinds, readers = ("recall", "customer_letter", "service_procedure", "informational"), ("owner", "dealer", "both")
-    error = (
-        F.when(keys.isNull(), "invalid JSON")
-        .when(F.size(missing) > 0, F.concat(F.lit("missing fields: "), F.array_join(missing, ", ")))
-        .when(~got["doc_kind"].isin(*kinds), "doc_kind not allowed")
-        .when(~got["audience"].isin(*readers), "audience not allowed")
-        .when(F.coalesce(F.trim(got["summary"]), F.lit("")) == "", "summary is empty")
-    )
-    return F.struct(error.alias("error"), F.array_distinct(years).alias("years"), F.array_distinct(trimmed[0]).alias("models"), trimmed[1].alias("symptoms"), F.trim(got["summary"]).alias("summary"))
+    read = lambda p: F.from_json(p, "summary STRING, symptoms ARRAY<STRING>, remedy STRING, doc_kind STRING, audience STRING, applicability_years ARRAY<STRING>, applicability_models ARRAY<STRING>", {"mode": "PERMISSIVE"})
+
+    def checked(row: Column) -> Column:
+        got = row["got"]
+        # a failed cast costs as much as the rest, so what has no digit is not tried
+        years = F.filter(F.transform(got["applicability_years"], lambda y: F.when(y.rlike("[0-9]"), F.trim(y).try_cast("int"))), lambda y: y.between(1950, 2100))
+        trimmed = [F.filter(F.transform(got[c], lambda v: F.trim(v)), lambda v: v != "") for c in ("applicability_models", "symptoms")]
+        keys = row["keys"]
+        missing = F.array_except(F.array(*[F.lit(k) for k in ("summary", "symptoms", "remedy", "doc_kind", "audience")]), keys)
+        kinds, readers = ("recall", "customer_letter", "service_procedure", "informational"), ("owner", "dealer", "both")
+        error = (
+            F.when(keys.isNull(), "invalid JSON")
+            .when(F.size(missing) > 0, F.concat(F.lit("missing fields: "), F.array_join(missing, ", ")))
+            .when(~got["doc_kind"].isin(*kinds), "doc_kind not allowed")
+            .when(~got["audience"].isin(*readers), "audience not allowed")
+            .when(F.coalesce(F.trim(got["summary"]), F.lit("")) == "", "summary is empty")
+        )
+        return F.struct(error.alias("error"), F.array_distinct(years).alias("years"), F.array_distinct(trimmed[0]).alias("models"), trimmed[1].alias("symptoms"), F.trim(got["summary"]).alias("summary"))
+
+    # the answer is parsed once, however many of its fields are looked at
+    return text.let(text.let(payload, lambda p: F.struct(read(p).alias("got"), F.json_object_keys(p).alias("keys"))), checked)

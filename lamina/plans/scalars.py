@@ -141,8 +141,8 @@ def c25_clean_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.to_json(F.struct(F.coalesce("paper_summary", F.lit(" ")).alias("summary"), "symptoms", F.lit("r").alias("remedy"), kind.alias("doc_kind"), reader.alias("audience"), years.alias("applicability_years"), models.alias("applicability_models")))
     payload = F.when(n % 5 == 0, F.lit("{oops")).when(n % 5 == 1, F.lit('{"summary": "x", "symptoms": []}')).otherwise(good)
     got = classify.clean_extraction(payload)
-    shown = lambda c: F.when(got["error"].isNull(), F.array_join(F.array_sort(got[c]).cast("array<string>"), ","))
-    return derived.papers(spark, sf_dir).select("paper_id", got["error"].alias("error"), shown("years").alias("years"), shown("models").alias("models"))
+    shown = lambda c: F.when(F.col("got.error").isNull(), F.array_join(F.array_sort(f"got.{c}").cast("array<string>"), ","))
+    return derived.papers(spark, sf_dir).select("paper_id", got.alias("got")).select("paper_id", "got.error", shown("years").alias("years"), shown("models").alias("models"))
 
 
 _C25 = """, p AS (SELECT paper_id, CASE paper_id % 5 WHEN 0 THEN '{oops' WHEN 1 THEN '{"summary": "x", "symptoms": []}' ELSE CAST(json_object('summary', coalesce(paper_summary, ' '), 'symptoms', symptoms, 'remedy', 'r',
