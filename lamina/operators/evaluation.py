@@ -73,7 +73,7 @@ def drawn(rows: DataFrame, takes: DataFrame, cells: Sequence[str], key: str, see
     before a cell's rows come together, so that a hot cell sends a few rows a task.
     """
     in_cell = Window.partitionBy(*cells)
-    named = rows.join(takes.select(*cells, "take"), list(cells))
+    named = rows.join(F.broadcast(takes.select(*cells, "take")), list(cells))  # a row a cell
     forced = named.filter("is_forced").withColumn("place", F.row_number().over(in_cell.orderBy(fixed_order(seed, key), key)))
     most = takes.agg(F.coalesce(F.max("take"), F.lit(0))).first()[0]
     first = named.filter("NOT is_forced").withColumn("place", F.row_number().over(in_cell.orderBy(fixed_order(seed, key), key))).filter(F.col("place") <= int(most))
