@@ -93,7 +93,8 @@ def a19_report_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three bulletins drawn from each tier, with their first document's summary."""
     rows = derived.bulletins(spark, sf_dir).select("severity", "bulletin_id", "number")
     drawn = ops.drawn(rows.withColumn("is_forced", F.lit(False)), spark.createDataFrame([(s, 3) for s in ("serious", "medium", "small")], "severity string, take int"), ["severity"], "bulletin_id")
-    first = ops.first_child(derived.papers(spark, sf_dir), "bulletin_id", "paper_id", "paper_summary")
+    theirs = derived.papers(spark, sf_dir).join(F.broadcast(drawn.select("bulletin_id")), "bulletin_id", "left_semi")  # three a tier
+    first = ops.first_child(theirs, "bulletin_id", "paper_id", "paper_summary")
     return drawn.join(first, "bulletin_id", "left").select("severity", "bulletin_id", "number", "paper_summary")
 
 
