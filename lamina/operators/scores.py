@@ -35,14 +35,19 @@ def arm_report(outputs: DataFrame) -> DataFrame:
     A field's empty rate is over the arm's valid outputs, the price of a thousand documents over
     those that were billed; what does not occur is null. A live arm also gets its price as a batch.
     """
-    rows = outputs.withColumn("good", _good())
-    n_valid, n_billed = F.count_if("good"), F.count_if(F.col("cost_usd") > 0)
-    usd = F.coalesce(F.sum("cost_usd"), F.lit(0.0))
-    empty = [F.round(F.avg(F.when(F.col("good"), _is_empty(f).cast("double"))), 6).alias(f"empty_{f}") for f in COMPARED]
-    sums = rows.rollup("arm").agg(
-        F.grouping_id().alias("g"), F.max("mode").alias("mode"), F.count("*").alias("n"), n_valid.alias("n_valid"), F.round(n_valid / F.count("*"), 6).alias("validity"), *empty,
-        F.round(F.avg("latency_s"), 6).alias("mean_latency"), F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"),
-        F.round(usd, 4).alias("usd"), n_billed.alias("billed"), F.when(n_billed > 0, usd / n_billed * 1000).alias("per_1000"),
+    # sums by arm and mode are numbers alone, which Spark adds up in a map without sorting rows; the few sums are rolled up
+    good = outputs.withColumn("good", _good())
+    few = good.groupBy("arm", "mode").agg(
+        F.count("*").alias("n"), F.count_if("good").alias("n_valid"), *(F.count_if(F.col("good") & _is_empty(f)).alias(f"empty_{f}") for f in COMPARED), F.sum("latency_s").alias("latency"), F.count("latency_s").alias("n_timed"),
+        F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost_usd").alias("usd"), F.count_if(F.col("cost_usd") > 0).alias("billed"),
+    )
+    usd, billed, n_valid = F.coalesce(F.sum("usd"), F.lit(0.0)), F.sum("billed"), F.sum("n_valid")
+    mean = lambda total, n: F.round(F.when(n > 0, total / n), 6)
+    sums = few.rollup("arm").agg(
+        F.grouping_id().alias("g"), F.max("mode").alias("mode"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(n_valid, F.lit(0)).alias("n_valid"), F.round(n_valid / F.sum("n"), 6).alias("validity"),
+        *(mean(F.sum(f"empty_{f}"), n_valid).alias(f"empty_{f}") for f in COMPARED), mean(F.sum("latency"), F.sum("n_timed")).alias("mean_latency"),
+        F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"),
+        F.round(usd, 4).alias("usd"), F.coalesce(billed, F.lit(0)).alias("billed"), F.when(billed > 0, usd / billed * 1000).alias("per_1000"),
     )
     whole = F.col("g") == 1
     _, batch = evaluation.live_and_batch(F.col("per_1000"), F.col("mode"))
