@@ -56,11 +56,17 @@ def arm_report(outputs: DataFrame) -> DataFrame:
     }).drop("g")
 
 
+def comparable(output: str) -> Column:
+    """An output's fields as sets and bags of words, made once however many others it is held against."""
+    sets, bags = ([made(F.col(f"{output}.{f}")).alias(f) for f in fields] for made, fields in ((text.norm_set, SET_FIELDS), (text.word_bag, TEXT_FIELDS)))
+    return F.struct(*sets, *bags, F.col(f"{output}.doc_kind").alias("doc_kind"))
+
+
 def agreement(a: str, b: str) -> dict[str, Column]:
-    """How far two outputs agree, field by field, from 0 to 1."""
-    found = {f: text.jaccard(F.col(f"{a}.{f}"), F.col(f"{b}.{f}")) for f in SET_FIELDS}
+    """How far two comparable outputs agree, field by field, from 0 to 1."""
+    found = {f: text.sets_agree(F.col(f"{a}.{f}"), F.col(f"{b}.{f}")) for f in SET_FIELDS}
     found["doc_kind"] = F.col(f"{a}.doc_kind").eqNullSafe(F.col(f"{b}.doc_kind")).cast("double")
-    return found | {f: text.token_f1(F.col(f"{a}.{f}"), F.col(f"{b}.{f}")) for f in TEXT_FIELDS}
+    return found | {f: text.bags_agree(F.col(f"{a}.{f}"), F.col(f"{b}.{f}")) for f in TEXT_FIELDS}
 
 
 def _means(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -70,8 +76,8 @@ def _means(pairs: DataFrame, *keys: str) -> DataFrame:
 
 def agreements(outputs: DataFrame, stored: DataFrame, reference_arm: str) -> DataFrame:
     """Mean agreement of each arm with the stored outputs (doc, output) and, for the other arms, with one arm's."""
-    good = outputs.filter(_good()).select("arm", "doc", "output")
-    known = stored.filter("output IS NOT NULL").select("doc", F.lit("stored").alias("against"), F.col("output").alias("other"))
+    good = outputs.filter(_good()).select("arm", "doc", comparable("output").alias("output"))
+    known = stored.filter("output IS NOT NULL").select("doc", F.lit("stored").alias("against"), comparable("output").alias("other"))
     reference = good.filter(F.col("arm") == reference_arm).select("doc", F.lit("reference").alias("against"), F.col("output").alias("other"))
     pairs = good.join(known.unionByName(reference), "doc").filter((F.col("against") == "stored") | (F.col("arm") != reference_arm))
     return _means(pairs, "arm", "against")
@@ -79,6 +85,6 @@ def agreements(outputs: DataFrame, stored: DataFrame, reference_arm: str) -> Dat
 
 def pairwise(outputs: DataFrame) -> DataFrame:
     """Mean agreement of every two arms over the documents that both have (Q24, J19); a document has at most one row for each of the few arms."""
-    good = outputs.filter(_good()).select("arm", "doc", "output")
+    good = outputs.filter(_good()).select("arm", "doc", comparable("output").alias("output"))
     other = good.select("doc", F.col("arm").alias("other_arm"), F.col("output").alias("other"))
     return _means(good.join(other, "doc").filter("arm < other_arm"), "arm", "other_arm")
