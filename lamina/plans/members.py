@@ -75,8 +75,10 @@ def _marked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     store = Snapshots(spark, f"{shared_folder(spark, 'reads')}/store")
     garage, links = derived.garage(spark, sf_dir), derived.links(spark, sf_dir)
     ops.create_reads(store, derived.reads(spark, sf_dir))
-    near = garage.filter("user_id % 2 = 0").selectExpr("user_id", "explode(array(car_id, car_id, (car_id + 1) % 100)) AS car_id")
-    asked = near.join(links, "car_id").filter("(CAST(bulletin_id AS BIGINT) + user_id) % 4 = 1").select("user_id", "bulletin_id")
+    near = garage.filter("user_id % 2 = 0").selectExpr("user_id", "explode(array(car_id, car_id, (car_id + 1) % 100)) AS car_id", "pmod(1 - user_id, 4) AS rest")
+    # of numbers above zero, as these are, the sum leaves 1 where the remainders match
+    linked = links.selectExpr("car_id", "bulletin_id", "pmod(CAST(bulletin_id AS BIGINT), 4) AS rest")
+    asked = near.join(linked, ["car_id", "rest"]).select("user_id", "bulletin_id")
     return ops.mark_read(store, asked, garage, links)
 
 
