@@ -32,16 +32,19 @@ def q04_indexed_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f08_indexed_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """f08 by postings of summaries and of documents' summaries, some of which were indexed twice and some removed again. F08, F05, F06."""
     store = Snapshots(spark, f"{shared_folder(spark, 'search')}/store")
-    rows, papers = derived.bulletins(spark, sf_dir), derived.papers(spark, sf_dir)
+    rows = derived.bulletins(spark, sf_dir)
+    store.publish(store.stage({"papers": derived.papers(spark, sf_dir).select("paper_id", "bulletin_id", "paper_summary")}))  # grouped once for all changes of the index
+    papers = store.read("papers")
     own, theirs = postings.TextIndex(store, ["bulletin_id"], "own"), postings.TextIndex(store, ["paper_id", "bulletin_id"], "papers")
     own.add(rows.selectExpr("bulletin_id", "'service bulletin' AS text"))  # as they were
     own.add(rows.selectExpr("bulletin_id", "summary AS text"))
     theirs.add(papers.selectExpr("paper_id", "bulletin_id", "CASE WHEN paper_id % 2 = 0 THEN paper_summary ELSE 'service bulletin' END AS text"))
     theirs.remove(papers.filter("paper_id % 2 = 1"))
     theirs.add(papers.filter("paper_id % 2 = 1").selectExpr("paper_id", "bulletin_id", "paper_summary AS text"))
-    query = "the service bulletin"
-    found = own.matches(query).select("bulletin_id").union(theirs.matches(query).select("bulletin_id"))
-    return bulletins.in_scope(rows.join(found, "bulletin_id", "left_semi"), derived.links(spark, sf_dir), 7).select("bulletin_id", "summary", "status")
+    query, links = "the service bulletin", derived.links(spark, sf_dir).filter("car_id = 7")
+    ids = links.select("bulletin_id")
+    found = own.matches(query, ids).select("bulletin_id").union(theirs.matches(query, ids).select("bulletin_id"))
+    return bulletins.in_scope(rows, links, 7).join(found, "bulletin_id", "left_semi").select("bulletin_id", "summary", "status")
 
 
 def l04_indexed_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
