@@ -30,7 +30,10 @@ def s01_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c28_applicability_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a text names of the years and models that a bulletin is for. C28."""
-    parts = derived.read(spark, sf_dir, "part").selectExpr(
+    stored = derived.read(spark, sf_dir, "part")
+    # a small file holds many rows, each of which costs much more than its bytes: they are dealt by number, not by the file's splits
+    dealt = stored.select("p_partkey", "p_name", "p_size", "p_brand").repartition(derived.row_partitions(stored, 20_000), "p_partkey")
+    parts = dealt.selectExpr(
         "p_partkey",
         """filter(array(named_struct('year', CAST(2018 + p_partkey % 4 AS STRING), 'model', p_name), named_struct('year', 'n/a', 'model', concat('f-', CAST(p_size AS STRING))),
            named_struct('year', CAST(NULL AS STRING), 'model', concat(CAST(p_size AS STRING), '.5 (', p_brand, ')')), named_struct('year', '2030', 'model', ' ')), p -> p_partkey % 7 <> 0 OR p.year = '2030') AS products""",
