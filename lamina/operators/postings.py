@@ -49,15 +49,16 @@ class TextIndex:
     def _postings(self, rows: DataFrame, column: str, segment: int) -> DataFrame:
         """Terms of each row with their counts, from runs of equal terms in order, so that counting needs no shuffle.
 
-        A generator of one element keeps the ordered terms, and then the places where runs begin, as
-        columns of their own; the optimizer would work them out anew for every term. A run ends where
-        the next begins.
+        A generator of one element keeps the ordered terms and the places where runs begin as columns;
+        the optimizer would work them out anew for every term. A run ends where the next begins.
         """
-        kept = lambda value: F.explode(F.array(value))
-        ordered = rows.select(*self.keys, kept(F.sort_array(text.tokens(F.col(column)))).alias("terms")).filter(F.size("terms") > 0)
-        first = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
-        begun = ordered.select(*self.keys, "terms", kept(first).alias("begins"))
-        runs = begun.select(*self.keys, "terms", "begins", F.posexplode("begins").alias("run", "begin"))
+
+        def with_begins(terms):
+            begins = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
+            return F.struct(terms.alias("terms"), F.when(F.size(terms) > 0, begins).alias("begins"))
+
+        kept = rows.select(*self.keys, F.explode(F.array(text.let(F.sort_array(text.tokens(F.col(column))), with_begins))).alias("kept"))
+        runs = kept.select(*self.keys, F.col("kept.terms").alias("terms"), F.col("kept.begins").alias("begins"), F.posexplode("kept.begins").alias("run", "begin"))
         n = F.coalesce(F.get("begins", F.col("run") + 1), F.size("terms")) - F.col("begin")
         return self._laid_out(runs.select(*self.keys, F.get("terms", F.col("begin")).alias("term"), n.alias("n"), F.lit(segment).alias("segment")))
 
