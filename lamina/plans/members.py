@@ -13,7 +13,7 @@ from lamina.operators import state, vocabulary
 from lamina.plans.oracle import TABLES
 from lamina.plans.publishing import _WITHDRAWN
 from lamina.sources import derived
-from lamina.sources.snapshots import Snapshots, shared_folder
+from lamina.sources.snapshots import Snapshots, shared_folder, stored
 
 NOW = datetime(2001, 8, 1)
 
@@ -73,13 +73,16 @@ FROM access x JOIN cars c ON c.car_id = x.car_id AND c.car_id % 10 <> 9 LEFT JOI
 def _marked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Every account with an even number asks for bulletins of its cars, some of them twice, and for one car's that is not its own."""
     store = Snapshots(spark, f"{shared_folder(spark, 'reads')}/store")
-    garage, links = derived.garage(spark, sf_dir), derived.links(spark, sf_dir)
-    ops.create_reads(store, derived.reads(spark, sf_dir))
+    n = derived.partitions(spark, sf_dir, "events", "orders", "lineitem")
+    held = derived.garage(spark, sf_dir).select("user_id", "car_id")
+    links = stored(derived.links(spark, sf_dir, held.selectExpr("explode(array(car_id, (car_id + 1) % 100)) AS car_id")).select("car_id", "bulletin_id"), "links")
+    garage = ops.dealt(held, n)
+    ops.create_reads(store, derived.reads_of(garage, links), n)
     near = garage.filter("user_id % 2 = 0").selectExpr("user_id", "explode(array(car_id, car_id, (car_id + 1) % 100)) AS car_id", "pmod(1 - user_id, 4) AS rest")
     # of numbers above zero, as these are, the sum leaves 1 where the remainders match
     linked = links.selectExpr("car_id", "bulletin_id", "pmod(CAST(bulletin_id AS BIGINT), 4) AS rest")
     asked = near.join(linked, ["car_id", "rest"]).select("user_id", "bulletin_id")
-    return ops.mark_read(store, asked, garage, links)
+    return ops.mark_read(store, asked, garage, links, n)
 
 
 def q09_marked_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
